@@ -8,29 +8,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing
+from . import exact_dedup, html_text, langid, line_templates, media, mixing, packing, secrets
 from .common import table
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balanced(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_exact_dedup, op7_source_mixing, op9_sequence_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_templates, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_html_text, op7_source_mixing, op8_media_chunks, op9_sequence_packing,
+)}
 
 ORACLES = {
     "op5_exact_dedup": """
