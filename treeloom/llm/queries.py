@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, line_templates, media, mixing, packing, secrets
+from . import exact_dedup, html_text, langid, line_templates, media, mixing, near_dedup, packing, secrets
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs))
@@ -49,7 +53,7 @@ def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_templates, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_html_text, op7_source_mixing, op8_media_chunks, op9_sequence_packing,
+    op1_line_templates, op2_near_dedup, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_html_text, op7_source_mixing, op8_media_chunks, op9_sequence_packing,
 )}
 
 ORACLES = {
