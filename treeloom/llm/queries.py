@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, line_templates, media, mixing, near_dedup, packing, secrets
+from . import exact_dedup, html_text, langid, line_templates, media, mixing, near_dedup, packing, secrets, substring_dedup
 from .common import table
 
 
@@ -52,8 +52,13 @@ def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_templates, op2_near_dedup, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_html_text, op7_source_mixing, op8_media_chunks, op9_sequence_packing,
+    op10_substring_dedup,
 )}
 
 ORACLES = {
