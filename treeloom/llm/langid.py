@@ -158,5 +158,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """docs without the rows that are ``und`` or score below ``least``; all columns stay, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            found = [decide(m, text.as_py()) for text in batch.column(at)]
+            yield batch.filter(pa.array([x != "und" and y >= least for x, y in found], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def crc_bucket(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5
