@@ -203,8 +203,10 @@ def stored_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.zip_with("digests", "bodies", lambda d, b: F.struct(d.alias("digest"), b.alias("body")))
     own = F.when(F.col("not_own").isNull(), parts).otherwise(F.filter(parts, lambda p: ~F.array_contains(F.col("not_own"), p["digest"])))
     store = at_home.select("doc_id", "media_id", "digests", "n_bytes", own.alias("own"), "lends")
+    n = F.coalesce("n_bytes", F.lit(0))
+    # The condition also names n_bytes, so this branch keeps the outer join and all columns, and with them the same exchange of bodies.
     lent = (
-        store.filter(F.size("lends") > 0)
+        store.filter(F.coalesce(F.size("lends"), F.lit(0)) + n > n)
         .select(F.explode("lends").alias("lend"), "own")
         .select(F.col("lend.digest").alias("digest"), F.explode(F.sequence(F.lit(0), F.col("lend.salts") - 1)).alias("salt"), F.filter("own", lambda p: p["digest"] == F.col("lend.digest"))[0]["body"].alias("body"))
         .dropDuplicates(["digest", "salt"])
