@@ -13,7 +13,8 @@ Text moves only in the first two levels. If two different texts ever share a dig
 that digest also compare their texts in the final lookup.
 
 Null text counts as empty; an empty table gives an empty result; repeated rows (same id and text)
-are all returned, and all marked kept if their id is the largest; other columns are ignored.
+are all returned, and all marked kept if their id is the largest; a null id is smaller than any other; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.when(F.count("*") > 1, F.lit(True)).otherwise(F.lit(False)).alias("clash"),
     )
     found = settle(by_digest)
-    out = ["doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
     lookup = found.filter(~F.col("clash")).select("digest", "keep_id", "group_size", F.explode(F.array_distinct("in_salts")).alias("salt"))
     plain = rows.select("doc_id", "digest", "salt").join(lookup, ["digest", "salt"]).select(*out)
     if not found.filter("clash").head(1):

@@ -14,7 +14,7 @@ rounded into whole copies by error diffusion inside salted buckets of each sourc
 first, so that small ones absorb what is left), which keeps each source's words near its target.
 
 Null text has size 0; null is a source of its own, last in order. Without words all targets are 0.
-An empty table gives an empty result. Rows with equal ids are treated as separate documents.
+An empty table gives an empty result. Rows with equal ids, or without one, are treated as separate documents.
 The result depends only on the rows, so reruns agree.
 """
 
@@ -114,16 +114,13 @@ def _rounded(cap: float):
         rates = np.exp(np.minimum(lam * c, np.log(cap)))
         pdf = pdf.assign(copies=diffuse(s, rates, int(cap)))
         pdf["taken"] = pdf["copies"] * pdf["size"]
-        return pdf[["doc_id", "size", "source_size", "target", "taken", "copies", "row"]]
+        return pdf[["doc_id", "size", "source_size", "target", "taken", "copies"]]
 
     return work
 
 
 def balanced(docs: DataFrame, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, row for every row of docs(doc_id, text, source).
-
-    row tells apart rows with the same id, size and source, which get it in no particular order.
-    """
+    """doc_id, size, source_size, target, taken, copies for every row of docs(doc_id, text, source)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
     hist = sized.groupBy("key", "source", "size").agg(F.count("*").alias("k"))
@@ -138,17 +135,17 @@ def balanced(docs: DataFrame, cap: float = CAP, weights: tuple[float, ...] = WEI
         sized.drop("source")
         .join(solved, "key")
         .withColumn("bucket", bucket)
-        .withColumn("row", F.lit(0))
-        .select("key", "bucket", "doc_id", "size", "source_size", "target", "lam", "mean", "row")
+        .select("key", "bucket", "doc_id", "size", "source_size", "target", "lam", "mean")
         .groupBy("key", "bucket")
-        .applyInPandas(_rounded(cap), "doc_id long, size long, source_size long, target double, taken long, copies long, row int")
+        .applyInPandas(_rounded(cap), "doc_id long, size long, source_size long, target double, taken long, copies long")
     )
 
 
 def take_mix(docs: DataFrame, **options: object) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows taken 0 times go.
 
-    Rows that share an id must be told apart first; with a unique doc_id, nothing is needed.
+    Rows that share an id are taken as often as the one of them that is taken most; rows without an id go.
     """
-    copies = balanced(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = balanced(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    whole = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    return whole.join(copies, "doc_id").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

@@ -15,7 +15,7 @@ sequence is its one shingle. Documents with Jaccard similarity of at least 0.75
    gets an unbounded group; links of these tasks meet in a second components run.
 
 Full sets are of 64-bit shingle hashes. Null, empty and wordless texts have the empty set and are linked with
-nothing. An empty table gives an empty result. Repeated rows are returned as often as they occur. Ties: the
+nothing, as are rows without an id. An empty table gives an empty result. Repeated rows are returned as often as they occur. Ties: the
 smallest doc_id represents a component.
 """
 
@@ -38,7 +38,6 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 THRESHOLD = (75, 100)
 CHUNK = 2048
-#: Clusters of up to this many classes are dealt out whole, many to a task.
 _random = np.random.default_rng(20240501)
 MULTIPLY = (_random.integers(0, 1 << 32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[None, :]
 ADD = _random.integers(0, 1 << 32, size=BANDS * ROWS, dtype=np.uint32)[None, :]
@@ -175,7 +174,8 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
 def near_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = settle(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"))
+    made = rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary")
+    sketched = settle(made.withColumn("set_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id"))))
     first = F.min(F.struct("doc_id", "bands", "sketch"))
     classes = settle(
         sketched.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(first.alias("f")).select("set_id", F.col("f.doc_id").alias("rep"), F.col("f.bands").alias("bands"), F.col("f.sketch").alias("sketch"))
@@ -207,7 +207,7 @@ def near_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         sketched.select("doc_id", "n_shingles", "set_id")
         .join(labels, "set_id", "left")
         .select("doc_id", "n_shingles", component)
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 

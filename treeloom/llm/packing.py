@@ -145,6 +145,7 @@ def pack(
     capacity = (float(length), float(max_docs or length), float(max_attention or length * length))
     pieces = settle(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(length, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     groups = max(1, -(-pieces.count() // group_rows))
+    # a null id hashes like any other value
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
     return dealt.groupBy("group").applyInPandas(
         _packed(length, capacity, weights, by),

@@ -16,8 +16,8 @@ are counted in ``BINS`` bins per class, a table of fixed size. Runs that aren't
 unless they overlap a base span.
 
 Positions are code points, end exclusive: text is split at the matches and lengths of what lies between
-are summed. Null text counts as empty. Rows repeat as often as they occur. An empty table gives an
-empty result.
+are summed. Null text counts as empty. Rows repeat as often as they occur; rows without an id get base spans only. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 KINDS = [*BASE, "random_base32", "random_base64", "random_hex"]
-RATE = 0.01
+RATE = 0.05
 BINS = 1000
 PARTS = 8
 

@@ -15,7 +15,8 @@ stretches of at least ``WINDOW`` words that really occur there are reported; a f
 inside a block are compared word by word by the block itself. With many blocks a home is split by salts and its index built
 in each.
 
-Null text has no words. An empty table gives an empty result. Rows that share an id are judged in order of their text.
+Null text has no words. An empty table gives an empty result. Rows that share an id are judged in order of their text;
+rows without an id come before all others.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Block:
 
     def __init__(self, pdf: pd.DataFrame, window: int) -> None:
         pdf = pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
-        self.ids = pdf["doc_id"].tolist()
+        self.ids = [None if x != x else int(x) for x in pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), float("nan"))]
         docs = [words_of(t) for t in pdf["text"]]
         self.words = [w for d in docs for w in d]
         self.ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
@@ -255,7 +256,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     range_bits = max(1, min(30, (int(size["bytes"]) // 6 // RANGE_WORDS).bit_length()))
     blocks = 1 + ((size["b"] or 0) >> BLOCK_BITS) - ((size["a"] or 0) >> BLOCK_BITS)
     salts = 1 + blocks // BLOCKS_PER_SALT
-    dealt = rows.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartition("block")
+    dealt = rows.withColumn("block", F.shiftright(F.coalesce("doc_id", F.lit(-(1 << 63))), BLOCK_BITS)).repartition("block")
     hashed = dealt.groupBy("block").applyInPandas(_hashes(window, range_bits), "range long, block long, at long, packed binary")
     homes = hashed.groupBy("range").applyInPandas(_homes, "block long, numbers binary, homes binary")
     passages = dealt.groupBy("block").cogroup(homes.groupBy("block")).applyInPandas(_passages(window, salts), PASSAGES)
