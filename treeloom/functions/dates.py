@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})?"
 DATE = r"(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})"
 TIME = r"([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?)"
@@ -217,19 +219,21 @@ def seconds_text(x: Column) -> Column:
 
 def duration_text(months: Column, seconds: Column) -> Column:
     """ISO text; '' where the signs differ."""
-    minus = (months < 0) | (seconds < 0)
-    m, s = F.abs(months), F.abs(seconds)
-    y, mo = F.floor(m / 12).cast("long"), (m % 12).cast("long")
-    day = F.floor(s / DAY).cast("long")
-    rest = s - day * DAY
-    h = F.floor(rest / 3600).cast("long")
-    mi = F.floor((rest - h * 3600) / 60).cast("long")
-    sec = rest - h * 3600 - mi * 60
     unit = lambda c, u: F.when(c > 0, F.concat(c.cast("string"), F.lit(u))).otherwise(F.lit(""))
-    clock = F.concat(unit(h, "H"), unit(mi, "M"), F.when(sec > 0, F.concat(seconds_text(sec), F.lit("S"))).otherwise(F.lit("")))
-    body = F.concat(unit(y, "Y"), unit(mo, "M"), unit(day, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(F.lit("")))
-    text = F.concat(F.when(minus, F.lit("-P")).otherwise(F.lit("P")), F.when(body == "", F.lit("T0S")).otherwise(body))
-    return F.when((months > 0) & (seconds < 0) | (months < 0) & (seconds > 0), F.lit("")).otherwise(text)
+
+    def clock(rest: Column) -> Column:
+        sec = rest % 60
+        return F.concat(unit(F.floor(rest / 3600).cast("long"), "H"), unit(F.floor((rest % 3600) / 60).cast("long"), "M"), F.when(sec > 0, F.concat(let(sec, seconds_text), F.lit("S"))).otherwise(F.lit("")))
+
+    def text(x: Column) -> Column:
+        m, s = F.abs(x["m"]), F.abs(x["s"])
+        timed = let(clock(s % DAY), lambda c: F.when(c != "", F.concat(F.lit("T"), c)).otherwise(F.lit("")))
+        body = F.concat(unit(F.floor(m / 12).cast("long"), "Y"), unit((m % 12).cast("long"), "M"), unit(F.floor(s / DAY).cast("long"), "D"), timed)
+        sign = F.when((x["m"] < 0) | (x["s"] < 0), F.lit("-P")).otherwise(F.lit("P"))
+        mixed = ((x["m"] > 0) & (x["s"] < 0)) | ((x["m"] < 0) & (x["s"] > 0))
+        return F.when(mixed, F.lit("")).otherwise(F.concat(sign, let(body, lambda b: F.when(b == "", F.lit("T0S")).otherwise(b))))
+
+    return let(F.struct(months.alias("m"), seconds.alias("s")), text)
 
 
 def duration(seconds: Column) -> Column:
@@ -237,8 +241,8 @@ def duration(seconds: Column) -> Column:
 
 
 def add_duration(a: Column, b: Column) -> Column:
-    x, y = duration_parts(a), duration_parts(b)
-    return F.coalesce(duration_text(x["months"] + y["months"], x["seconds"] + y["seconds"]), F.lit(""))
+    both = F.struct(duration_parts(a).alias("x"), duration_parts(b).alias("y"))
+    return F.coalesce(let(both, lambda p: duration_text(p["x"]["months"] + p["y"]["months"], p["x"]["seconds"] + p["y"]["seconds"])), F.lit(""))
 
 
 def sum_durations(d: Column) -> Column:
@@ -261,16 +265,26 @@ def seconds(s: Column) -> Column:
     return F.when(p.isNotNull(), F.when(p["months"] == 0, p["seconds"])).otherwise(moment(s))
 
 
+def _taken(s: Column) -> Column:
+    """struct of what arithmetic needs of a date."""
+    return F.struct(form(s).alias("form"), zone(s).alias("zone"), year(s).alias("y"), month_in_year(s).alias("m"), moment(s).alias("at"))
+
+
 def difference(a: Column, b: Column) -> Column:
     """Duration from a to b, in the precision of the less precise: months for years and months, else seconds."""
-    fa, fb = form(a), form(b)
-    rough = fa.isin("gYear", "gYearMonth") | fb.isin("gYear", "gYearMonth")
-    years_only = (fa == "gYear") | (fb == "gYear")
-    months = (year(b) - year(a)) * 12 + F.when(years_only, F.lit(0.0)).otherwise(month_in_year(b) - month_in_year(a))
-    days_only = (fa == "date") | (fb == "date")
-    secs = F.when(days_only, F.floor(moment(b) / DAY) * DAY - F.floor(moment(a) / DAY) * DAY).otherwise(moment(b) - moment(a))
-    zones = (zone(a) == "") == (zone(b) == "")
-    return F.coalesce(F.when(~zones, F.lit("")).when(rough, duration_text(months.cast("long"), F.lit(0.0))).otherwise(duration_text(F.lit(0), secs.cast("double"))), F.lit(""))
+
+    def text(x: Column) -> Column:
+        p, q = x["a"], x["b"]
+        rough = p["form"].isin("gYear", "gYearMonth") | q["form"].isin("gYear", "gYearMonth")
+        years_only = (p["form"] == "gYear") | (q["form"] == "gYear")
+        days_only = (p["form"] == "date") | (q["form"] == "date")
+        months = (q["y"] - p["y"]) * 12 + F.when(years_only, F.lit(0.0)).otherwise(q["m"] - p["m"])
+        secs = F.when(days_only, (F.floor(q["at"] / DAY) - F.floor(p["at"] / DAY)) * DAY).otherwise(q["at"] - p["at"])
+        same_kind = (p["zone"] == "") == (q["zone"] == "")
+        said = duration_text(F.when(rough, months).otherwise(F.lit(0.0)).cast("long"), F.when(rough, F.lit(0.0)).otherwise(secs).cast("double"))
+        return F.when(same_kind, said).otherwise(F.lit(""))
+
+    return F.coalesce(let(F.struct(_taken(a).alias("a"), _taken(b).alias("b")), text), F.lit(""))
 
 
 def add(s: Column, d: Column) -> Column:

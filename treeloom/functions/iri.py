@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 REFERENCE = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?\z"
 HAS_SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
 HAS_AUTHORITY = r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
@@ -85,44 +87,55 @@ def remove_dot_segments(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(p)))
         )
 
-    kept = F.aggregate(parts, F.array().cast("array<string>"), put)
-    kept = F.when(closing & ~((last == "..") & (F.element_at(F.concat(F.array(F.lit("")), kept), -1) == "..")), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    out = F.array_join(kept, "/")
+    def ended(kept: Column) -> Column:
+        stuck = (last == "..") & (F.element_at(F.concat(F.array(F.lit("")), kept), -1) == "..")
+        return F.array_join(F.when(closing & ~stuck, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+    out = F.aggregate(parts, F.array().cast("array<string>"), put, ended)
     return F.when(path == "", path).when(absolute & ~F.startswith(out, F.lit("/")), F.concat(F.lit("/"), out)).otherwise(out)
 
 
 def absolutize(ref: Column, base: Column) -> Column:
     """The reference resolved against an absolute base; null if the base isn't absolute."""
-    r, b = split(ref), split(base)
-    merged = F.when(b["authority"].isNotNull() & (b["path"] == ""), F.concat(F.lit("/"), r["path"])).otherwise(F.concat(F.regexp_extract(b["path"], r"\A(.*/)?", 0), r["path"]))
-    same_path = r["path"] == ""
-    path = F.when(same_path, b["path"]).when(F.startswith(r["path"], F.lit("/")), remove_dot_segments(r["path"])).otherwise(remove_dot_segments(merged))
-    query = F.when(same_path & r["query"].isNull(), b["query"]).otherwise(r["query"])
-    own = unsplit(r["scheme"], r["authority"], remove_dot_segments(r["path"]), r["query"], r["fragment"])
-    net = unsplit(b["scheme"], r["authority"], remove_dot_segments(r["path"]), r["query"], r["fragment"])
-    return F.when(~is_absolute(base), F.lit(None)).when(r["scheme"].isNotNull(), own).when(r["authority"].isNotNull(), net).otherwise(unsplit(b["scheme"], b["authority"], path, query, r["fragment"]))
+
+    def resolve(r: Column, b: Column) -> Column:
+        merged = F.when(b["authority"].isNotNull() & (b["path"] == ""), F.concat(F.lit("/"), r["path"])).otherwise(F.concat(F.regexp_extract(b["path"], r"\A(.*/)?", 0), r["path"]))
+        own = r["scheme"].isNotNull()
+        net = own | r["authority"].isNotNull()
+        same_path = ~net & (r["path"] == "")
+        raw = F.when(net | F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(merged)
+        path = F.when(same_path, b["path"]).otherwise(let(raw, remove_dot_segments))
+        query = F.when(same_path & r["query"].isNull(), b["query"]).otherwise(r["query"])
+        return unsplit(F.when(own, r["scheme"]).otherwise(b["scheme"]), F.when(net, r["authority"]).otherwise(b["authority"]), path, query, r["fragment"])
+
+    resolved = let(F.struct(split(ref).alias("r"), split(base).alias("b")), lambda x: resolve(x["r"], x["b"]))
+    return F.when(is_absolute(base), resolved)
 
 
 def relativize(target: Column, base: Column) -> Column:
     """Shortest relative reference from base to target; null unless scheme and authority are equal."""
-    t, b = split(target), split(base)
-    same = t["scheme"].eqNullSafe(b["scheme"]) & t["authority"].eqNullSafe(b["authority"])
-    tp, bp = F.split(t["path"], "/", -1), F.split(b["path"], "/", -1)
-    folders = F.least(F.size(tp), F.size(bp)) - 1
-    common = F.aggregate(F.sequence(F.lit(0), F.greatest(folders, F.lit(1)) - 1), F.lit(0), lambda acc, i: F.when((acc == i) & (i < folders) & (tp[i] == bp[i]), acc + 1).otherwise(acc))
-    up = F.repeat(F.lit("../"), F.size(bp) - 1 - common)
-    down = F.array_join(F.slice(tp, common + 1, F.size(tp)), "/")
-    path = F.concat(up, down)
-    path = F.when((t["path"] == b["path"]) & (t["query"].isNotNull() | b["query"].isNull()), F.lit("")).when(path == "", F.lit("./")).when(path.rlike(r"\A[^/]*:"), F.concat(F.lit("./"), path)).otherwise(path)
     none = F.lit(None).cast("string")
-    return F.when(same, unsplit(none, none, path, t["query"], t["fragment"]))
+
+    def steps(x: Column) -> Column:
+        tp, bp = x["tp"], x["bp"]
+        folders = F.least(F.size(tp), F.size(bp)) - 1
+        common = F.aggregate(F.sequence(F.lit(0), F.greatest(folders, F.lit(1)) - 1), F.lit(0), lambda acc, i: F.when((acc == i) & (i < folders) & (F.get(tp, i) == F.get(bp, i)), acc + 1).otherwise(acc))
+        return let(common, lambda c: F.concat(F.repeat(F.lit("../"), F.size(bp) - 1 - c), F.array_join(F.slice(tp, c + 1, F.size(tp)), "/")))
+
+    def shown(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        same = t["scheme"].eqNullSafe(b["scheme"]) & t["authority"].eqNullSafe(b["authority"])
+        here = (t["path"] == b["path"]) & (t["query"].isNotNull() | b["query"].isNull())
+        climb = let(F.struct(F.split(t["path"], "/", -1).alias("tp"), F.split(b["path"], "/", -1).alias("bp")), steps)
+        path = let(climb, lambda p: F.when(here, F.lit("")).when(p == "", F.lit("./")).when(p.rlike(r"\A[^/]*:"), F.concat(F.lit("./"), p)).otherwise(p))
+        return F.when(same, unsplit(none, none, path, t["query"], t["fragment"]))
+
+    return let(F.struct(split(target).alias("t"), split(base).alias("b")), shown)
 
 
 def normalize_case(u: Column, host: bool = False) -> Column:
     """Scheme lower, percent octets upper, host lower on request."""
-    s = split(u)
-    a = F.lower(s["authority"]) if host else s["authority"]
-    out = unsplit(F.lower(s["scheme"]), a, s["path"], s["query"], s["fragment"])
+    out = let(split(u), lambda s: unsplit(F.lower(s["scheme"]), F.lower(s["authority"]) if host else s["authority"], s["path"], s["query"], s["fragment"]))
     parts = F.split(out, "%", -1)
     return F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & p.rlike(r"\A[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p)))).otherwise(p)), "%")
 
@@ -139,8 +152,7 @@ def normalize_percent(u: Column) -> Column:
 
 
 def normalize_path(u: Column) -> Column:
-    s = split(u)
-    return F.when(is_absolute(u), unsplit(s["scheme"], s["authority"], remove_dot_segments(s["path"]), s["query"], s["fragment"])).otherwise(u)
+    return F.when(is_absolute(u), let(split(u), lambda s: unsplit(s["scheme"], s["authority"], let(s["path"], remove_dot_segments), s["query"], s["fragment"]))).otherwise(u)
 
 
 def public_id_to_urn(p: Column) -> Column:

@@ -445,7 +445,7 @@ _page("authority", lambda u: iri.authority(u)["host"], f"regexp_replace({U.forma
 _page("strip_fragment", iri.strip_fragment, "split_part(url, '#', 1)")
 _page("fragment", lambda u: F.coalesce(iri.fragment(u), F.lit("")), "split_part(url, '#', 2)")
 _page("is_absolute", iri.is_absolute, "regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:')")
-_page("absolutize", lambda u: iri.absolutize(F.lit("../x/./y?q"), u), f"{U.format(1)} || '://' || {U.format(2)} || '/x/y?q'")
+_page("absolutize", lambda u: iri.absolutize(F.lit("../x/./y?q"), u), f"{U.format(1)} || '://' || {U.format(2)} || CASE WHEN {U.format(3)} = '' THEN '/' ELSE regexp_replace(regexp_replace({U.format(3)}, '[^/]*$', ''), '[^/]+/$', '') END || 'x/y?q'")
 _page("relativize", lambda u: iri.relativize(iri.absolutize(F.lit("/zz/q"), u), u), f"CASE WHEN {U.format(3)} = '' THEN 'zz/q' ELSE repeat('../', CAST(len(string_split({U.format(3)}, '/')) AS INTEGER) - 2) || 'zz/q' END")
 _page("remove_dot_segments", lambda u: iri.remove_dot_segments(F.concat(iri.split(u)["path"], F.lit("/../a/./b/.."))), f"CASE WHEN {U.format(3)} = '' THEN '/a/' ELSE regexp_replace({U.format(3)}, '[^/]*$', '') || 'a/' END")
 _page("normalize_case", lambda u: iri.normalize_case(F.concat(F.lit("HTTP"), F.regexp_replace(u, "^https?", ""), F.lit("%2f"))), "'http' || regexp_replace(url, '^https?', '') || '%2F'")
@@ -534,7 +534,7 @@ def _push(name: str, sql: str, which: str, pattern: str) -> None:
 
 
 _push("push_relative", "SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1", "orders", "item/qty")
-_push("push_absolute", "SELECT o_orderkey AS doc_id, 1 AS n FROM orders", "orders", "/order/total")
+_push("push_absolute", "SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS n FROM orders", "orders", "/order/total")
 _push("push_descendant", "SELECT o_custkey AS doc_id, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", "customers", "/customer//qty")
 _push("push_union", "SELECT o_orderkey AS doc_id, 1 + count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", "orders", "total | item/price")
 _push("push_namespace", "SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1", "customers", "s:order")
@@ -636,7 +636,7 @@ _templated("xsl_value_of", '<xsl:template match="/"><xsl:value-of select="/order
 _templated("xsl_for_each", '<xsl:template match="/"><xsl:for-each select="//item"><xsl:sort select="@part" data-type="number" order="descending"/><xsl:value-of select="@part"/>,</xsl:for-each></xsl:template>', "SELECT o_orderkey AS doc_id, coalesce(string_agg(l_partkey || ',', '' ORDER BY l_partkey DESC), '') AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 _templated("xsl_choose", '<xsl:template match="/"><xsl:choose><xsl:when test="order/@status=\'F\'">final</xsl:when><xsl:when test="order/@status=\'O\'">open</xsl:when><xsl:otherwise>part</xsl:otherwise></xsl:choose></xsl:template>', "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'part' END AS result FROM orders")
 _templated("xsl_if", '<xsl:template match="/"><xsl:if test="count(//item) &gt; 4">many</xsl:if></xsl:template>', f"SELECT o_orderkey AS doc_id, CASE WHEN {N_ITEMS} > 4 THEN 'many' ELSE '' END AS result FROM orders")
-_templated("xsl_apply_templates", '<xsl:template match="total"/><xsl:template match="item[qty &gt; 25]">B</xsl:template><xsl:template match="item">s</xsl:template>', ITEMS + "SELECT o_orderkey AS doc_id, coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'B' ELSE 's' END, '' ORDER BY rn), '') AS result FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY 1")
+_templated("xsl_apply_templates", '<xsl:template match="total"/><xsl:template match="item[qty &gt; 25]">B</xsl:template><xsl:template match="item">s</xsl:template>', ITEMS + "SELECT o_orderkey AS doc_id, coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'B' WHEN l_quantity <= 25 THEN 's' END, '' ORDER BY rn), '') AS result FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY 1")
 _templated("xsl_call_template", '<xsl:template name="r"><xsl:param name="k"/><xsl:if test="$k &gt; 0">*<xsl:call-template name="r"><xsl:with-param name="k" select="$k - 1"/></xsl:call-template></xsl:if></xsl:template><xsl:template match="/"><xsl:call-template name="r"><xsl:with-param name="k" select="count(//item)"/></xsl:call-template></xsl:template>', f"SELECT o_orderkey AS doc_id, repeat('*', {N_ITEMS}) AS result FROM orders")
 _templated("xsl_key", '<xsl:key name="f" match="item" use="@flag"/><xsl:template match="/"><xsl:value-of select="count(key(\'f\', \'R\'))"/>/<xsl:value-of select="count(key(\'f\', //@flag))"/></xsl:template>', "SELECT o_orderkey AS doc_id, count(l_orderkey) FILTER (l_returnflag = 'R') || '/' || count(l_orderkey) AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 _templated("xsl_mode_params", '<xsl:template match="/"><xsl:apply-templates select="//item[1]" mode="m"><xsl:with-param name="p" select="\'x\'"/></xsl:apply-templates></xsl:template><xsl:template match="item" mode="m"><xsl:param name="p"/><xsl:value-of select="concat($p, @part)"/></xsl:template>', ITEMS + "SELECT o_orderkey AS doc_id, coalesce('x' || l_partkey, '') AS result FROM orders LEFT JOIN items ON o_orderkey = l_orderkey AND rn = 1")
@@ -704,7 +704,7 @@ def _(spark, sf_dir):
     return corpus(spark, sf_dir, "talks").value("count(/conversation/turn[@role='user'])")
 
 
-@query("trim_word_count", "SELECT conv_id AS doc_id, least(5, sum(len(regexp_extract_all(coalesce(text, ''), '\\S+')))) AS n FROM conversations GROUP BY 1")
+@query("trim_word_count", "SELECT conv_id AS doc_id, CAST(least(5, sum(len(regexp_extract_all(coalesce(text, ''), '\\S+')))) AS BIGINT) AS n FROM conversations GROUP BY 1")
 def _(spark, sf_dir):
     """The first five words of a document, counted over its text nodes in order."""
     w = nodesets.Window.partitionBy("doc_id").orderBy("pre").rowsBetween(nodesets.Window.unboundedPreceding, -1)
