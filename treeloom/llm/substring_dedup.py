@@ -6,14 +6,14 @@ starts earlier (smaller doc_id, or same document and earlier start) are removed.
 Documents go, in order of doc_id, into blocks of 1024 ids; a block is a shard. Building an index of all text and
 streaming all documents through every shard would take work in the square of the input, so fingerprints first
 say where to look: each block sends the sorted, distinct, delta-coded 48-bit hashes of its windows to hash ranges; a range
-tells each block which of its hashes occur in an earlier block (the first one is their home) or, at the home, in a later
-one. Every block sends a hash once, so common passages don't gather in a task.
+tells each block which of its hashes occur in an earlier block (the last such block is their home) and which occur in a
+later one. Every block sends a hash once, and is home only to the next block that has it, so a passage that all
+documents share doesn't gather in a task.
 
 Then passages, the runs of such windows, meet at their home. The home's own passages are put into an FM-index
 (backward search over a wavelet matrix), the others' are streamed through it as matching statistics, and
 stretches of at least ``WINDOW`` words that really occur there are reported; a false fingerprint only costs a search. Repeats
-inside a block are compared word by word by the block itself. With many blocks a home is split by salts and its index built
-in each.
+inside a block are compared word by word by the block itself.
 
 Null text has no words. An empty table gives an empty result. Rows that share an id are judged in order of their text;
 rows without an id come before all others.
@@ -37,7 +37,6 @@ BLOCK_BITS = 10
 HASH_BITS = 48
 PIECE = 120
 RANGE_WORDS = 2_000_000
-BLOCKS_PER_SALT = 4096
 QUERIES_AT_ONCE = 16384
 PLACE = np.random.default_rng(20240617).integers(1 << 63, size=WINDOW, dtype=np.uint64) | np.uint64(1)
 
@@ -118,29 +117,27 @@ def _hashes(window: int, range_bits: int):
 
 
 def _homes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block of a hash range: the numbers of its hashes that recur, and the first block of each (itself included)."""
+    """Per block of a hash range: the numbers of its hashes that recur, the block before that has each (itself: none), whether one after has."""
     pdf = pdf.sort_values("block", kind="stable")
     parts = [unpack(x) for x in pdf["packed"]]
     sizes = [len(x) for x in parts]
     values = np.concatenate(parts)
     del parts
     block = np.repeat(pdf["block"].to_numpy(), sizes)
-    order = np.argsort(values, kind="stable")
-    fresh = np.concatenate([[True], values[order][1:] != values[order][:-1]])
-    group = np.cumsum(fresh) - 1
-    lead = order[np.flatnonzero(fresh)]
-    many = np.bincount(group) > 1
-    home = np.empty(len(values), dtype=np.int64)
-    home[order] = np.where(many[group], block[lead[group]], -1)
-    recurs = np.zeros(len(values), dtype=bool)
-    recurs[order] = many[group]
+    order = np.argsort(values, kind="stable")  # equal hashes in order of block
+    again = values[order][1:] == values[order][:-1]
+    before, after = np.concatenate([[False], again]), np.concatenate([again, [False]])
+    home, lends, recurs = block.copy(), np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    home[order[1:][again]] = block[order[:-1][again]]
+    lends[order] = after
+    recurs[order] = before | after
     rows, start = [], 0
     for b, at, n in zip(pdf["block"], pdf["at"], sizes, strict=True):
         own = np.flatnonzero(recurs[start : start + n])
         if len(own):
-            rows.append((int(b), zlib.compress((own + at).astype(np.int64).tobytes(), 1), zlib.compress(home[start : start + n][own].tobytes(), 1)))
+            rows.append((int(b), zlib.compress((own + at).astype(np.int64).tobytes(), 1), zlib.compress(home[start : start + n][own].tobytes(), 1), zlib.compress(np.packbits(lends[start : start + n][own]).tobytes(), 1)))
         start += n
-    return pd.DataFrame(rows, columns=["block", "numbers", "homes"])
+    return pd.DataFrame(rows, columns=["block", "numbers", "homes", "lends"])
 
 
 def runs(starts: np.ndarray, homes: np.ndarray, most: int | None) -> list[tuple[int, int, int]]:
@@ -156,31 +153,26 @@ def runs(starts: np.ndarray, homes: np.ndarray, most: int | None) -> list[tuple[
     return out
 
 
-PASSAGES = "home long, salt int, own boolean, block long, at long, words binary"
+PASSAGES = "home long, own boolean, block long, at long, words binary"
 
 
-def _passages(window: int, salts: int):
+def _passages(window: int):
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["home", "salt", "own", "block", "at", "words"]
+        columns = ["home", "own", "block", "at", "words"]
         if not len(right) or not len(left):
             return pd.DataFrame([], columns=columns)
         name = int(left["block"].iloc[0])
         block = Block(left, window)
         distinct, number = block.first_of_equal()
-        home, recurs = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
-        for numbers, homes in zip(right["numbers"], right["homes"], strict=True):
-            at = np.frombuffer(zlib.decompress(numbers), np.int64)
-            home[at] = np.frombuffer(zlib.decompress(homes), np.int64)
-            recurs[at] = True
-        take = recurs[number] & ~block.repeats(window)
-        starts, homes = block.starts[take], home[number[take]]
-        rows = []
-        mine = homes == name
-        salt = zlib.crc32(str(name).encode()) % salts
-        for a, b, _ in runs(starts[mine], homes[mine], None):
-            rows += [(name, s, True, name, a, b" ".join(block.words[a : b + window])) for s in range(salts)]
-        for a, b, h in runs(starts[~mine], homes[~mine], PIECE):
-            rows.append((h, salt, False, name, a, b" ".join(block.words[a : b + window])))
+        home, lends = np.full(len(distinct), name, dtype=np.int64), np.zeros(len(distinct), dtype=bool)
+        for row in right.itertuples():
+            at = np.frombuffer(zlib.decompress(row.numbers), np.int64)
+            home[at] = np.frombuffer(zlib.decompress(row.homes), np.int64)
+            lends[at] = np.unpackbits(np.frombuffer(zlib.decompress(row.lends), np.uint8), count=len(at)).astype(bool)
+        first = ~block.repeats(window)
+        lent, asked = first & lends[number], first & (home[number] != name)
+        rows = [(name, True, name, a, b" ".join(block.words[a : b + window])) for a, b, _ in runs(block.starts[lent], np.zeros(lent.sum()), None)]
+        rows += [(h, False, name, a, b" ".join(block.words[a : b + window])) for a, b, h in runs(block.starts[asked], home[number[asked]], PIECE)]
         return pd.DataFrame(rows, columns=columns)
 
     return work
@@ -252,15 +244,13 @@ def _digested(work):
 def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 of the kept words joined by a space, or its SHA-256) of every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).head()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
     range_bits = max(1, min(30, (int(size["bytes"]) // 6 // RANGE_WORDS).bit_length()))
-    blocks = 1 + ((size["b"] or 0) >> BLOCK_BITS) - ((size["a"] or 0) >> BLOCK_BITS)
-    salts = 1 + blocks // BLOCKS_PER_SALT
     dealt = rows.withColumn("block", F.shiftright(F.coalesce("doc_id", F.lit(-(1 << 63))), BLOCK_BITS)).repartition("block")
     hashed = dealt.groupBy("block").applyInPandas(_hashes(window, range_bits), "range long, block long, at long, packed binary")
-    homes = hashed.groupBy("range").applyInPandas(_homes, "block long, numbers binary, homes binary")
-    passages = dealt.groupBy("block").cogroup(homes.groupBy("block")).applyInPandas(_passages(window, salts), PASSAGES)
-    found = passages.groupBy("home", "salt").applyInPandas(_search(window), "block long, start long, end long")
+    homes = hashed.groupBy("range").applyInPandas(_homes, "block long, numbers binary, homes binary, lends binary")
+    passages = dealt.groupBy("block").cogroup(homes.groupBy("block")).applyInPandas(_passages(window), PASSAGES)
+    found = passages.groupBy("home").applyInPandas(_search(window), "block long, start long, end long")
     last = dealt.groupBy("block").cogroup(found.groupBy("block"))
     if digest:
         return last.applyInPandas(_digested(_kept(window)), RESULT.replace("kept binary", "kept string"))
