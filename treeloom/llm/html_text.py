@@ -164,8 +164,12 @@ def learn(pages: list[str]) -> Weights:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
-    few = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select("html")
-    return learn([r["html"] for r in few.collect()])
+    """Learn from the sample_pages pages with the smallest hashes of page_id; only their html comes to the driver."""
+    known = pages.filter(F.col("html").isNotNull()).withColumn("h", F.xxhash64("page_id"))
+    smallest = known.select("h").orderBy("h").limit(sample_pages).agg(F.max("h")).head()[0]
+    if smallest is None:
+        return Weights()
+    return learn([r["html"] for r in known.filter(F.col("h") <= smallest).orderBy("h", "page_id").select("html").limit(sample_pages).collect()])
 
 
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
