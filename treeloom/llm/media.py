@@ -33,7 +33,7 @@ UNIT = 64
 RATE = 8000
 HEADER = 44
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
-BORROWERS_PER_SALT = 1000
+BORROWERS_PER_SALT = 100
 BATCH_BYTES = 4 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, size=256, dtype=np.uint32)
 
