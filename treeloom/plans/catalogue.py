@@ -609,7 +609,7 @@ def _updated(name: str, commands: str, expr: str, sql: str) -> None:
         from treeloom.plans.xpath_plan import Corpus
 
         done = update.update(markup(spark, sf_dir, "orders"), "doc_id", "xml", f'<xupdate:modifications version="1.0" {X}>{commands}</xupdate:modifications>')
-        return Corpus(shred(done, "doc_id", "result")).value(expr)
+        return Corpus(shred(done, "doc_id", "result").persist()).value(expr)
 
 
 N_ITEMS = "(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)"

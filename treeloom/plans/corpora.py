@@ -99,7 +99,9 @@ MARKUP = {"orders": order_markup, "customers": customer_markup, "talks": talk_ma
 
 
 def markup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return MARKUP[name](spark, sf_dir)
+    """A corpus, dealt to as many tasks as the session asks for: small shuffles are merged to a task, and parsing is the dear part."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return MARKUP[name](spark, sf_dir).repartition(n, "doc_id")
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
