@@ -255,3 +255,15 @@ def test_registry():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(o) > 150
+
+
+def test_tabular(spark, tmp_path):
+    from treeloom.sources import tabular
+
+    tabular.write_rows(spark.createDataFrame([(1, "a<b"), (2, None)], "k int, v string").coalesce(1), str(tmp_path / "x"))
+    assert sorted(map(tuple, tabular.read_rows(spark, str(tmp_path / "x"), "row", "k int, v string").collect())) == [(1, "a<b"), (2, None)]
+    (tmp_path / "t.txt").write_text("a;b;c")
+    assert [r.value for r in tabular.read_by_separator(spark, str(tmp_path / "t.txt"), ";").collect()] == ["a", "b", "c"]
+    assert tabular.read_documents(spark, str(tmp_path / "t.txt")).head().text == "a;b;c"
+    tabular.write_files(spark.createDataFrame([("p", "one"), ("q", "two")], "href string, text string"), str(tmp_path / "out"), "href", "text")
+    assert {r.href for r in spark.read.text(str(tmp_path / "out")).collect()} == {"p", "q"}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.functions import dates, iri, numbers, strings
+from treeloom.functions import dates, iri, legacy, numbers, strings
 from treeloom.operators import extract, nodesets, update
 from treeloom.plans import xslt
 from treeloom.plans.corpora import broken_markup, corpus, markup, nodes, pages, table
@@ -711,3 +711,94 @@ def _(spark, sf_dir):
     texts = nodes(spark, sf_dir, "talks").filter("kind = 'text'").withColumn("w", F.regexp_count("value", F.lit(r"\S+")))
     left = F.greatest(F.lit(5) - F.coalesce(F.sum("w").over(w), F.lit(0)), F.lit(0))
     return texts.select("doc_id", F.least("w", left).alias("take")).groupBy("doc_id").agg(F.sum("take").alias("n"))
+
+
+# -- further operators -----------------------------------------------------------------------------------------
+
+_part("ext_ends_with", lambda: legacy.ends_with(F.col("p_name"), F.lit("ring")), "ends_with(p_name, 'ring')")
+_part("ext_escape_xml", lambda: legacy.escape_xml(F.concat(F.lit("<&>"), "p_name")), "'&lt;&amp;&gt;' || p_name")
+_part("ext_if", lambda: legacy.choose(F.col("p_size") > 25, F.lit("big")), "CASE WHEN p_size > 25 THEN 'big' ELSE '' END")
+_part("ext_range", lambda: F.size(legacy.number_range(F.lit(3).cast("long"), F.col("p_size").cast("long"))).cast("long"), "CAST(greatest(p_size - 3, 0) AS BIGINT)")
+_part("ext_sha_hash", lambda: legacy.sha_hash(F.col("p_name")), "sha1(p_name)")
+_part("ext_join", lambda: legacy.join(F.split("p_name", " "), "-"), "replace(p_name, ' ', '-')")
+_part("ext_indent", lambda: legacy.indent(F.replace("p_name", F.lit(" "), F.lit("\n")), 1), "'  ' || replace(p_name, ' ', chr(10) || '  ')")
+_part("ext_normalize_eol", lambda: legacy.normalize_eol(F.replace("p_name", F.lit(" "), F.lit("\r\n"))), "replace(p_name, ' ', chr(10))")
+_part("ext_wrap", lambda: legacy.wrap(F.col("p_name"), 3), "replace(p_name, ' ', chr(10)) || chr(10)")
+_part("ext_uuid", lambda: F.length(legacy.generate_uuid()).cast("long"), "CAST(36 AS BIGINT)")
+_part("ext_radians", lambda: F.round(legacy.radians(F.col("p_size").cast("double")), 9), "round(radians(p_size), 9)")
+_part("ext_factorial", lambda: legacy.factorial(F.col("p_size") % 10), "CAST(factorial(CAST(p_size % 10 AS INTEGER)) AS BIGINT)")
+_part("inject_markup", lambda: legacy.inject(F.col("p_name"), "[aeiou]", "v"), "regexp_replace(p_name, '([aeiou])', '<v>\\1</v>', 'g')")
+_part("string_template", lambda: legacy.template("$$ $name (${size}) $none", name=F.col("p_name"), size=F.col("p_size")), "'$ ' || p_name || ' (' || p_size || ') $none'")
+_page("allow_list", lambda u: legacy.allowed(u, ("https://",)), "starts_with(url, 'https://')")
+_templated("xsl_attribute_set", '<xsl:attribute-set name="s"><xsl:attribute name="q"><xsl:value-of select="//order/@id"/></xsl:attribute></xsl:attribute-set><xsl:template match="/"><xsl:variable name="t"><e xsl:use-attribute-sets="s"/></xsl:variable><xsl:value-of select="x:node-set($t)/e/@q" xmlns:x="http://exslt.org/common"/></xsl:template>', "SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS result FROM orders")
+_templated("xsl_function", '<f:function name="m:sq" xmlns:f="http://exslt.org/functions" xmlns:m="my"><xsl:param name="n"/><f:result select="$n * $n"/></f:function><xsl:template match="/" xmlns:m="my"><xsl:value-of select="m:sq(count(//item))"/></xsl:template>', f"SELECT o_orderkey AS doc_id, CAST({N_ITEMS} * {N_ITEMS} AS VARCHAR) AS result FROM orders")
+_templated("xsl_decimal_format", '<xsl:decimal-format name="e" decimal-separator="," grouping-separator="."/><xsl:template match="/"><xsl:value-of select="format-number(count(//item) * 1000 + 0.5, \'#.##0,00\', \'e\')"/></xsl:template>', f"SELECT o_orderkey AS doc_id, CASE WHEN {N_ITEMS} = 0 THEN '0,50' ELSE {N_ITEMS} || '.000,50' END AS result FROM orders")
+_templated("xsl_fallback", '<xsl:template match="/"><xsl:unknown><xsl:fallback>fb</xsl:fallback></xsl:unknown><xsl:if test="function-available(\'key\') and element-available(\'xsl:sort\')">!</xsl:if></xsl:template>', "SELECT o_orderkey AS doc_id, 'fb!' AS result FROM orders")
+
+
+@query("xsl_message_terminate", "SELECT count(*) FILTER (o_orderstatus = 'F') AS stopped, count(*) FILTER (o_orderstatus <> 'F') AS done FROM orders")
+def _(spark, sf_dir):
+    sheet = SHEET.format('<xsl:template match="/"><xsl:if test="order/@status=\'F\'"><xsl:message terminate="yes">final</xsl:message></xsl:if>ok</xsl:template>')
+    got = xslt.transform(markup(spark, sf_dir, "orders"), "doc_id", "xml", sheet)
+    return got.agg(F.count("error").alias("stopped"), F.count("result").alias("done"))
+
+
+@query("xsl_import_apply", "SELECT o_orderkey AS doc_id, '[' || o_orderkey || ']' AS result FROM orders")
+def _(spark, sf_dir):
+    base = SHEET.format('<xsl:template match="order"><xsl:value-of select="@id"/></xsl:template>')
+    top = SHEET.replace('<xsl:output method="text"/>', "").format('<xsl:import href="base"/><xsl:template match="order">[<xsl:apply-imports/>]</xsl:template>')
+    return xslt.transform(markup(spark, sf_dir, "orders"), "doc_id", "xml", top, modules={"base": base}).select("doc_id", "result")
+
+
+@query("multi_output", "SELECT l_orderkey AS doc_id, 'part/' || l_partkey AS href, CAST(CAST(max_by(l_quantity, rn) AS BIGINT) AS VARCHAR) AS text FROM (SELECT *, " + RANKED + " AS rn FROM lineitem) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    sheet = SHEET.format('<xsl:template match="/"><xsl:for-each select="//item"><x:document xmlns:x="http://exslt.org/common" href="part/{@part}" method="text"><xsl:value-of select="qty"/></x:document></xsl:for-each></xsl:template>')
+    return xslt.transform_files(markup(spark, sf_dir, "orders"), "doc_id", "xml", sheet).filter("href <> ''")
+
+
+@query("bound_default", "SELECT o_orderkey AS doc_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, 'none' AS note FROM orders")
+def _(spark, sf_dir):
+    n = nodes(spark, sf_dir, "orders")
+    top = _is("order")
+    total, note = extract.bound(n, top, "total"), extract.bound(n, top, "note", "none")
+    return total.select("doc_id", F.col("value").alias("total")).join(note.select("doc_id", F.col("value").alias("note")), "doc_id")
+
+
+@query("common_container", "SELECT l_orderkey AS doc_id, CASE WHEN count(*) > 1 THEN '/order' ELSE '/order/item' END AS path FROM lineitem GROUP BY 1")
+def _(spark, sf_dir):
+    n = nodes(spark, sf_dir, "orders")
+    return extract.common_container(n, n.filter(_is("qty"))).select("doc_id", "path")
+
+
+@query("namespace_strip", "SELECT count(*) AS n FROM orders")
+def _(spark, sf_dir):
+    n = extract.strip_namespaces(nodes(spark, sf_dir, "customers"))
+    return n.filter("kind = 'element' AND ns IS NULL AND local = 'order'").agg(F.count("*").alias("n"))
+
+
+@query("namespace_replace", "SELECT count(*) AS n FROM orders")
+def _(spark, sf_dir):
+    n = extract.replace_namespace(nodes(spark, sf_dir, "customers"), "urn:sales", "urn:other")
+    return n.filter("ns = 'urn:other'").agg(F.count("*").alias("n"))
+
+
+@query("outer_merge", "SELECT coalesce(a, b) AS flag, a IS NOT NULL AS in_a, b IS NOT NULL AS in_b FROM (SELECT DISTINCT l_returnflag AS a FROM lineitem) FULL JOIN (SELECT DISTINCT o_orderstatus AS b FROM orders) ON a = b")
+def _(spark, sf_dir):
+    c = corpus(spark, sf_dir, "orders")
+    flags = c.select("//item/@flag").select(F.col("value").alias("flag"))
+    states = c.select("/order/@status").select(F.col("value").alias("flag"))
+    return extract.outer_merge(flags, states, ["flag"])
+
+
+@query("merge_by_date", "SELECT doc_id, date FROM (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders) ORDER BY date DESC, doc_id LIMIT 20")
+def _(spark, sf_dir):
+    """The newest entries of two merged feeds (a top-k report)."""
+    c = corpus(spark, sf_dir, "orders")
+    one, two = c.at(c.select("/order[@status='F']"), date="@date"), c.at(c.select("/order[@status!='F']"), date="@date")
+    return one.unionByName(two, allowMissingColumns=True).select("doc_id", "date").orderBy(F.desc("date"), "doc_id").limit(20)
+
+
+@query("html_text_len", f"SELECT page_id AS doc_id, CAST(length(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) > 0 AS BOOLEAN) AS has FROM pages")
+def _(spark, sf_dir):
+    n = pages(spark, sf_dir)
+    return n.filter(_is("h1")).select("doc_id", (F.length("value") > 0).alias("has"))
