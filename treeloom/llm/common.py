@@ -6,6 +6,8 @@ which all executors share, so a lost executor costs a read and not a recomputati
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, tempfile.mkdtemp(prefix="treeloom-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="treeloom-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        named = _own[app]
     return f"{named.rstrip('/')}/treeloom-{spark.sparkContext.applicationId}"
 
 

@@ -39,8 +39,17 @@ _encoders: dict[str, object] = {}
 PLAIN_CHARS = 400_000
 
 
+def located(vocabulary: str, kind: str) -> str:
+    """File of a vocabulary: a path without its ending, or the name of a public one."""
+    if "/" in vocabulary:
+        return f"{vocabulary}.{kind}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(f"{vocabulary}.{kind}"))
+
+
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> ids, the ids of ``tokenizers`` with this vocabulary; made once per Python worker.
+    """text -> ids, the ids of ``tokenizers`` with this vocabulary (a name or a path); made once per Python worker.
 
     The rank file of the same vocabulary gives the same ids about five times as fast
     (tests compare both); special strings in a text are ordinary text.
@@ -50,7 +59,7 @@ def encoder(vocabulary: str = VOCABULARY):
         import tiktoken
         from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+        with open(located(vocabulary, "tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow: list = []
@@ -59,7 +68,7 @@ def encoder(vocabulary: str = VOCABULARY):
             if len(text) <= PLAIN_CHARS:
                 return fast.encode_ordinary(text)
             if not slow:
-                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
+                slow.append(Tokenizer.from_file(located(vocabulary, "json")))
                 slow[0].encode_special_tokens = True
             return slow[0].encode(text, add_special_tokens=False).ids
 
