@@ -156,7 +156,7 @@ def test_update_errors_and_helpers():
 
 
 def test_models(spark):
-    example = f'<labels xmlns:eg="{extract.EG}" xmlns:ak="{extract.AK}"><label eg:occurs="+" id="x" ak:resource="@id"><name ak:rel="local-name()"/><quote eg:occurs="?" ak:rel="\'says\'" ak:value="em"><em/></quote></label></labels>'
+    example = f'<labels xmlns:eg="{extract.EG}" xmlns:m="{extract.MODEL}"><label eg:occurs="+" id="x" m:resource="@id"><name m:rel="local-name()"/><quote eg:occurs="?" m:rel="\'says\'" m:value="em"><em/></quote></label></labels>'
     source = '<labels><label id="p"><name>Ann</name><quote><em>hi</em></quote></label><label id="q"><name>Bob</name><name>Rob</name></label></labels>'
     df = spark.createDataFrame([(1, source)], "id long, x string")
     c = Corpus(shred(df, "id", "x"), documents(df, "id", "x"))

@@ -654,7 +654,7 @@ def _(spark, sf_dir):
 
 # -- models ----------------------------------------------------------------------------------------------------
 
-EXAMPLE = f'<order xmlns:eg="{extract.EG}" xmlns:ak="{extract.AK}" ak:resource="concat(\'order/\', @id)"><total ak:rel="\'total\'"/><item eg:occurs="*" ak:rel="local-name()" ak:value="@part"><qty/><price/></item></order>'
+EXAMPLE = f'<order xmlns:eg="{extract.EG}" xmlns:m="{extract.MODEL}" m:resource="concat(\'order/\', @id)"><total m:rel="\'total\'"/><item eg:occurs="*" m:rel="local-name()" m:value="@part"><qty/><price/></item></order>'
 
 
 @query("triples_examplotron", "SELECT 'order/' || o_orderkey AS resource, 'total' AS rel, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'order/' || l_orderkey, 'item', CAST(l_partkey AS VARCHAR) FROM lineitem")
