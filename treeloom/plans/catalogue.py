@@ -18,6 +18,7 @@ from treeloom.plans.corpora import broken_markup, corpus, markup, nodes, pages,
 from treeloom.plans.xpath_plan import to_num
 from treeloom.sources.shred import documents, is_xml, shred
 from treeloom.streaming import patterns
+from treeloom.streaming.run import available_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -802,3 +803,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     n = pages(spark, sf_dir)
     return n.filter(_is("h1")).select("doc_id", (F.length("value") > 0).alias("has"))
+
+
+@query("push_stream", "SELECT o_orderkey AS doc_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total FROM orders")
+def _(spark, sf_dir):
+    """Structured Streaming from the table's files to matched elements."""
+    from treeloom.plans.corpora import attr, element, money
+
+    source = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")
+    docs = source.select(F.col("o_orderkey").alias("doc_id"), element("order", element("total", money("o_totalprice")), attrs=(attr("id", F.col("o_orderkey")),)).alias("xml"))
+    return available_now(patterns.pushtree(docs, "doc_id", "xml", "order/total")).select("doc_id", F.col("value").alias("total"))
