@@ -104,6 +104,14 @@ def markup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return MARKUP[name](spark, sf_dir).repartition(n, "doc_id")
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows hash-dealt by doc_id; joins on doc_id and more columns may use that (the setting below) instead of dealing anew."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "doc_id")
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept or not _kept[key].is_cached:
@@ -112,8 +120,8 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Node rows of a corpus."""
-    return kept(spark, sf_dir, f"{name}:nodes", lambda: shred(markup(spark, sf_dir, name), "doc_id", "xml"))
+    """Node rows of a corpus, dealt by document once: every axis then joins where the rows lie."""
+    return kept(spark, sf_dir, f"{name}:nodes", lambda: by_document(shred(markup(spark, sf_dir, name), "doc_id", "xml")))
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str, full_text: bool = False, **variables) -> Corpus:
@@ -124,4 +132,4 @@ def corpus(spark: SparkSession, sf_dir: str, name: str, full_text: bool = False,
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node rows of the pages table, parsed as tag soup."""
-    return kept(spark, sf_dir, "pages:nodes", lambda: shred(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", "html"))
+    return kept(spark, sf_dir, "pages:nodes", lambda: by_document(shred(table(spark, sf_dir, "pages").select("page_id", "html").repartition(spark.sparkContext.defaultParallelism), "page_id", "html", "html")))
