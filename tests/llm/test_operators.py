@@ -310,6 +310,17 @@ def test_random_strings_are_told_from_words(spark):
     assert all(got[200 + i] == "" for i in range(4))
 
 
+def test_secrets_of_named_values_and_letters(spark):
+    value, letters, base32 = "q8Zr1LwX9vB2nM4kT7yP0sD3fG6hJ5aC", "qZrKLwXtvBxnMokTuyPisDefGahJpaCw", "MZ2KQ7RBX4TWE3ALUGY6OCHNVJ5DSFIP"
+    texts = [f"AWS_SECRET_ACCESS_KEY={value}", f"https://h.org/a?sig={value}&x=1", f"a_rather_long_name_of_a_key={value}==", f"x =={value}", f"v {letters} w", f"k={base32}====", f"{value}=1"]
+    rows = list(enumerate(texts)) + [(100 + i, "see the_" + w + "_and_" + w + "_again") for i, w in enumerate("alpha bravo gamma delta".split())]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, run in enumerate([value, value, value + "==", value, letters, base32 + "====", value]):
+        kind = "random_base32" if i == 5 else "random_base64"
+        assert got[i] == f"{kind}:{texts[i].index(run)}:{texts[i].index(run) + len(run)}"
+    assert all(got[100 + i] == "" for i in range(4))
+
+
 def test_lines(spark):
     notice = "All rights reserved by the example company"
     rows = [(i, f"{'abcdefgh'[i] * 4} own line with {'stuvwxyz'[i] * 3} in it\n{notice}\nPage {i} of 99 printed at {i}:30\nok") for i in range(8)]

@@ -1,8 +1,9 @@
 """Secret scan with a battery of randomness tests, DataFrame operations only.
 
 Base spans follow fixed rules (``BASE``). The method adds spans: runs of 20 or more characters of the
-base64 alphabets that look like an encoding (hex, base32, base64 by the characters they use, with a digit
-and a letter) are tested against "every symbol is drawn evenly and independently":
+base64 alphabets that look like an encoding (hex, base32, base64 by the characters they use, with a
+letter) are tested against "every symbol is drawn evenly and independently". ``=`` belongs to a run only
+as padding at its end; elsewhere it separates, so name and value of ``NAME=value`` are runs of their own:
 
 * chi-squared of the symbols' shares over eight equal parts of the encoding's alphabet,
 * the number of runs above and below the middle of the alphabet,
@@ -33,7 +34,7 @@ BASE = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 16),
     "hex": (r"([0-9a-f]{32,})", 1, 32),
 }
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 # Alphabets in the order of their codes.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -65,9 +66,8 @@ def found(text: Column, pattern: str, group: int) -> Column:
 
 def encoding(run: Column) -> Column:
     bare = F.regexp_replace(run, "=+$", "")
-    both = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
     return (
-        F.when(~both, F.lit(None))
+        F.when(~bare.rlike("[A-Za-z]"), F.lit(None))
         .when(bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
         .when(bare.rlike("^[A-Z2-7]+$"), F.lit("base32"))
         .otherwise(F.lit("base64"))
