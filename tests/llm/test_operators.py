@@ -335,6 +335,20 @@ def test_lines(spark):
     assert (got[50].n_lines, got[51].n_lines, got[52].n_lines, got[50].text) == (0, 0, 3, "")
 
 
+def test_lines_of_several_templates_in_a_leaf(spark):
+    users = "anna bert cleo dora emil".split()
+    templates = ["Report was sent by {} to the main office", "Report was sent for {} from our old server", "Report was sent while {} slept under warm blankets"]
+    rows = [(10 * k + i, t.format(u)) for k, t in enumerate(templates) for i, u in enumerate(users)]
+    rows += [(100 + i, "Report was sent " + " ".join(f"{'klmnopqrst'[i // 10]}{'abcdefghij'[i % 10]}{x}" for x in "uvwxyz")) for i in range(60)]
+    rows += [(200 + i, f"Written by user {u}") for i, u in enumerate(users)] + [(300 + i, f"Visit us on {u} Sunday") for i, u in enumerate(users)]
+    rows += [(400, "\n".join(f"One text has {u} lines" for u in users)), (401, "One text has words here")]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for first in (0, 10, 20, 200, 300):
+        assert [got[first + i].n_dropped for i in range(5)] == [0, 1, 1, 1, 1]
+    assert all(got[100 + i].n_dropped == 0 for i in range(60))
+    assert got[400].n_dropped == got[401].n_dropped == 0  # five lines, but of one document
+
+
 PAGE = '<html><head><title>T {0}</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu {0}</a></li></ul></nav><div class="ad">Buy this great thing now {0}</div><article><h1>Head &amp; {0}</h1><p>First   part\nof {0}<br>second &lt;part&gt;<p><b>third</b> one</article><footer>foot {0}</footer></body></html>'
 
 
