@@ -349,6 +349,16 @@ def test_lines_of_several_templates_in_a_leaf(spark):
     assert got[400].n_dropped == got[401].n_dropped == 0  # five lines, but of one document
 
 
+def test_line_query_drops_short_lines(spark, tmp_path):
+    from treeloom.llm import queries
+
+    rows = [(i, f"{'abcde'[i] * 4}\n\nRead more\n \nShare") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_line_templates(spark, str(tmp_path)).collect()}
+    assert [got[i].n_dropped for i in range(5)] == [0, 2, 2, 2, 2]
+    assert got[1].kept_sha256 == hashlib.sha256(b"bbbb\n\n ").hexdigest()
+
+
 PAGE = '<html><head><title>T {0}</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu {0}</a></li></ul></nav><div class="ad">Buy this great thing now {0}</div><article><h1>Head &amp; {0}</h1><p>First   part\nof {0}<br>second &lt;part&gt;<p><b>third</b> one</article><footer>foot {0}</footer></body></html>'
 
 

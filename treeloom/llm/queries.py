@@ -13,7 +13,7 @@ from .common import table
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    kept = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_tokens=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
