@@ -113,7 +113,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
+@pytest.mark.parametrize("chunk", [512, 3])
 def test_near(spark, chunk):
     want = brute_components(ROWS)
     got = near_dedup.near_groups(table(spark, ROWS), chunk=chunk).collect()
@@ -121,6 +121,49 @@ def test_near(spark, chunk):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_large_cluster(spark):
+    """Chains and copies whose pivots link only some of them, in chunks far smaller than the cluster."""
+    base = words(120)
+    chain = [list(base)]
+    for _ in range(30):
+        chain.append(edited(chain[-1], 2))
+    rows = list(enumerate(" ".join(x) for x in [*chain, *(edited(base, k) for k in (2, 3, 4, 5, 6, 8, 10) for _ in range(5))]))
+    rng.shuffle(rows)
+    got = near_dedup.near_groups(table(spark, rows), chunk=7).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def shared_ids(spark):
+    same = " ".join(words(40))
+    rows = [(5, "A text"), (5, "B other"), (None, "C"), (None, "D"), (7, "E"), (None, "A TEXT"), (None, "c"), (3, same), (9, same + " more"), (9, "words of its own"), (9, "words of its own"), (None, None), (11, ""), (11, None)]
+    return rows, table(spark, rows)
+
+
+def test_stages_keep_rows_without_an_id_or_that_share_one(spark):
+    rows, df = shared_ids(spark)
+    got = sorted(((r.doc_id, lower(r.text)) for r in exact_dedup.drop_exact_copies(df).collect()), key=str)
+    best = {}
+    for i, t in rows:
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    assert got == sorted(((None if i < 0 else i, t) for t, i in best.items()), key=str)
+    got = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect())
+    assert got == Counter(x for x in rows if not (x[0] == 9 and x[1].endswith("more")))
+    copies = Counter((r.doc_id, r.text) for r in mixing.take_mix(df).collect())
+    said = Counter()
+    for r in mixing.balanced(df).collect():
+        said[r.doc_id] += r.copies
+    taken = Counter()
+    for (i, _), k in copies.items():
+        taken[i] += k
+    assert +said == taken and set(copies) <= set(rows) and said[None] > 0
+
+
+def test_near_components_of_rows_that_share_an_id(spark):
+    rows, df = shared_ids(spark)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(df).collect())
+    assert got[(9, 37, 3)] == 1 and got[(9, 1, 9)] == 2 and got[(5, 1, 5)] == 2 and got[(None, 1, None)] == 4
+
+
 def test_odd_sketch_estimates():
     a = np.unique(np.random.default_rng(1).integers(1 << 63, size=3000, dtype=np.uint64))
     for share in (0.95, 0.85, 0.75):
@@ -175,12 +218,57 @@ def test_pack_and_unpack_round_trip():
     assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(path("byte_bpe_50k.json")))
+    odd = ["see <|endoftext|> here<|endoftext|>\n x  <|endoftext|> ", "a" + " " * 400_001 + "b", "x" * 400_001, "\n" * 400_001 + "y", "it's  two\t\tspaces " * 25_000, "7" * 400_001, "漢字" * 200_001, "<|endoftext", "\u00a0\u2003 z"]
+    for text in odd:
+        assert list(packing.encoder()(text)) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_residual_terms_and_capacities_change_choices():
+    sizes = np.sort(np.random.default_rng(8).integers(1, 700, size=400))[::-1]
+    plain = packing.best_fit(sizes, (2048.0, 2048.0, 2048.0**2), (1.0, 0.0, 0.0))
+    norm = packing.best_fit(sizes, (2048.0, 2048.0, 2048.0**2), (1.0, 0.1, 0.1))
+    few = packing.best_fit(sizes, (2048.0, 16.0, 2048.0**2), (1.0, 0.0, 0.0))
+    assert (plain[0] != norm[0]).any() and norm[2] <= plain[2] + 1
+    assert np.bincount(plain[0]).max() > 16 == np.bincount(few[0]).max()
+
+
+def brute_best_fit(sizes, capacity, weights):
+    rooms, out = [], []
+    for size in sizes:
+        need = (float(size), 1.0, float(size) ** 2)
+        best = None
+        for at, room in enumerate(rooms):
+            if all(r >= x for r, x in zip(room, need)):
+                norm = sum(((r - x) * w / c) ** 2 for r, x, w, c in zip(room, need, weights, capacity))
+                if best is None or norm < best[0]:
+                    best = (norm, at)
+        at = best[1] if best else len(rooms)
+        if not best:
+            rooms.append(list(capacity))
+        rooms[at] = [r - x for r, x in zip(rooms[at], need)]
+        out.append(rooms[at][0])
+    return len(rooms), out
+
+
+def test_best_fit_is_that_of_a_plain_search():
+    for seed in range(4):
+        sizes = np.sort(np.random.default_rng(seed).integers(1, 1500, size=250))[::-1]
+        capacity, weights = (2048.0, 12.0, 3e6), (1.0, 0.05, 0.05)
+        bins, offsets, n = packing.best_fit(sizes, capacity, weights)
+        want, rooms = brute_best_fit(sizes, capacity, weights)
+        assert n == want and [2048 - o - s for o, s in zip(offsets, sizes)] == rooms
+
+
 def test_packing_covers_every_token_once(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(str(path("byte_bpe_50k.json")))
     got = packing.pack(table(spark, ROWS)).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -245,14 +333,16 @@ def test_mixing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.balanced(df).collect()))
 
 
-def test_newton_meets_its_target():
-    sizes, counts = np.array([1, 5, 50, 500, 5000]), np.array([100, 40, 30, 5, 1])
-    total = float((sizes * counts).sum())
-    for goal in (0.1, 0.7, 1.0, 1.9, 2.9):
-        mean = total / counts.sum()
-        lam = mixing.newton_tilt(sizes, counts, goal * total, mean, 3.0)
-        rates = np.minimum(3.0, np.exp(lam * sizes / (sizes + mean)))
-        assert (sizes * counts * rates).sum() == pytest.approx(goal * total, rel=1e-6)
+def test_newton_meets_its_targets(spark):
+    hist = spark.createDataFrame([(f"s{g}", size, k) for g in range(6) for size, k in ((0, 9), (1, 100), (5, 40), (50, 30), (500, 5), (5000, 1))], "key string, size long, k long")
+    total, n = 100 + 200 + 1500 + 2500 + 5000, 185
+    goals = [0.001, 0.1, 0.7, 1.0, 1.9, 2.9]
+    got = mixing.tilts(hist, spark.createDataFrame([(f"s{g}", total, n, 1, x * total) for g, x in enumerate(goals)], "key string, source_size long, n long, least long, target double")).collect()
+    for r in got:
+        x = goals[int(r.key[1:])]
+        rate = lambda s: min(3.0, np.exp(r.lam * s / (s + r.mean)))  # noqa: B023, E731
+        assert sum(k * s * rate(s) for s, k in ((1, 100), (5, 40), (50, 30), (500, 5), (5000, 1))) == pytest.approx(x * total, rel=1e-5)
+    assert len(got) == 6
 
 
 def test_media_round_trip(spark):

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="treeloom-")
@@ -68,5 +71,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def row_mark(df: DataFrame, seed: str = "") -> Column:
+    """128 bits that stand for a row's content, nulls and null ids included; maps don't count.
+
+    Decisions about rows are carried by this and not by an id, which may be missing or shared by several rows.
+    """
+    columns = [F.lit(seed), *(F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType))]
+    nulls = F.concat(F.lit("|"), *(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")) for c in columns))
+    return F.struct(F.xxhash64(nulls, *columns).alias("a"), F.xxhash64(*columns, nulls, F.lit(7)).alias("b"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

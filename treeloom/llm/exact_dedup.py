@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, row_mark, settle
 
 SALTS = 32
 
@@ -62,6 +62,19 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """docs without the rows whose equal text has a larger doc_id elsewhere; all columns stay."""
-    stays = exact_groups(docs, salts).filter("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each group of equal texts, that of the largest doc_id; all columns stay.
+
+    A row is known by its whole content, so rows without an id or that share one are rows of their own: every text
+    keeps exactly one row, that without an id only if no equal text has one. Of rows with the largest id of their
+    text the one with the largest hash stays. Rows that are equal in all columns are first merged in map tasks;
+    whole rows move once, by their hash, and so are dealt evenly whatever the groups.
+    """
+    names = docs.columns
+    marked = docs.withColumn("__mark", row_mark(docs)).select("__mark", F.struct(*names).alias("__row"))
+    narrow = marked.select("__mark", F.col("__row.doc_id").alias("doc_id"), ascii_lower(F.col("__row.text")).alias("norm"))
+    narrow = narrow.withColumns({"salt": F.pmod(F.col("__mark.a"), F.lit(salts)).cast("int"), "digest": F.unhex(F.sha2("norm", 256))})
+    best = F.max(F.struct("doc_id", "__mark"))
+    local = narrow.groupBy("digest", "salt", "norm").agg(best.alias("best"))
+    stays = local.groupBy("digest", "norm").agg(F.max("best").alias("best")).select(F.col("best.__mark").alias("__mark")).distinct()
+    rows = marked.groupBy("__mark").agg(F.first("__row").alias("__row"))
+    return rows.join(settle(stays), "__mark", "left_semi").select("__row.*")

@@ -19,6 +19,8 @@ Repeated rows are packed as often as they occur.
 from __future__ import annotations
 
 import base64
+import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +36,8 @@ LENGTH = 2048
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 GROUP_ROWS = 16384
+LEAST_MAX_DOCS = 64
 _encoders: dict[str, object] = {}
-#: Texts of more characters go through the tokenizers library, whose splitter has no recursion limit.
-PLAIN_CHARS = 400_000
 
 
 def located(vocabulary: str, kind: str) -> str:
@@ -49,10 +50,11 @@ def located(vocabulary: str, kind: str) -> str:
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> ids, the ids of ``tokenizers`` with this vocabulary (a name or a path); made once per Python worker.
+    """text -> ids, those of ``tokenizers`` with this vocabulary (a name or a path) and add_special_tokens=False.
 
-    The rank file of the same vocabulary gives the same ids about five times as fast
-    (tests compare both); special strings in a text are ordinary text.
+    Made once per Python worker. The rank file of the same vocabulary gives the same ids about five times as fast;
+    the vocabulary's added tokens (``<|endoftext|>``) are tokens here as they are there. Its splitter runs out of stack on some runs
+    of white space and says so; such a text goes to ``tokenizers`` itself. Tests compare both on such texts.
     """
     if vocabulary not in _encoders:
         import public_tokenizers
@@ -61,16 +63,18 @@ def encoder(vocabulary: str = VOCABULARY):
 
         with open(located(vocabulary, "tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(located(vocabulary, "json"), encoding="utf-8") as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         slow: list = []
 
         def encode(text: str) -> list[int]:
-            if len(text) <= PLAIN_CHARS:
-                return fast.encode_ordinary(text)
-            if not slow:
-                slow.append(Tokenizer.from_file(located(vocabulary, "json")))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:
+                if not slow:
+                    slow.append(Tokenizer.from_file(located(vocabulary, "json")))
+                return slow[0].encode(text, add_special_tokens=False).ids
 
         _encoders[vocabulary] = encode
     return _encoders[vocabulary]
@@ -149,11 +153,15 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    max_docs and max_attention (sum of squared piece lengths) default to what ``length`` already implies.
+    max_attention bounds the sum of squared piece lengths and defaults to that of one whole piece; max_docs defaults to
+    ``LEAST_MAX_DOCS``, or four times what a full sequence holds on average if that is more, so that it keeps a
+    sequence from filling up with hundreds of tiny documents but never makes sequences of short documents half empty.
     """
-    capacity = (float(length), float(max_docs or length), float(max_attention or length * length))
     pieces = settle(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(length, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    groups = max(1, -(-pieces.count() // group_rows))
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    groups = max(1, -(-n // group_rows))
+    usual = max(LEAST_MAX_DOCS, math.ceil(4 * n * length / max(tokens, 1)))
+    capacity = (float(length), float(max_docs or usual), float(max_attention or length * length))
     # a null id hashes like any other value
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
     return dealt.groupBy("group").applyInPandas(
