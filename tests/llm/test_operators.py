@@ -180,23 +180,62 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100, **{1000 + i: 1000 for i in range(50)}}
 
 
-def test_substring(spark):
-    rows = [(i * 700, t) for i, t in ROWS]  # several blocks
+def brute_substring(rows, window=20):
     seen, want = set(), {}
     for i, t in rows:
         ws = (t or "").encode().split()
         gone = [False] * len(ws)
-        for s in range(len(ws) - 19):
-            w = tuple(ws[s : s + 20])
+        for s in range(len(ws) - window + 1):
+            w = tuple(ws[s : s + window])
             if w in seen:
-                gone[s : s + 20] = [True] * 20
+                gone[s : s + window] = [True] * window
             seen.add(w)
         want[i] = (len(ws), sum(gone), b" ".join(w for w, g in zip(ws, gone) if not g).decode())
-    got = substring_dedup.without_repeats(table(spark, rows)).collect()
+    return want
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 20_000, 1500])
+def test_substring(spark, block_bytes):
+    rows = [(i * 700, t) for i, t in ROWS]
+    want = brute_substring(rows)
+    got = substring_dedup.without_repeats(table(spark, rows), block_bytes=block_bytes).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
     assert sum(x[1] for x in want.values()) > 100
 
 
+def test_substring_when_hashes_collide(spark):
+    passages = [words(22) for _ in range(6)]
+    rows = [(i, " ".join(words(15) + passages[rng.randrange(6)] + words(4) + passages[rng.randrange(6)])) for i in range(24)]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2800, hash_bits=4, retries=4).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_substring(rows)
+    with pytest.raises(Exception, match="still open"):
+        substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=500, hash_bits=2, retries=0).collect()
+
+
+def test_substring_repeats_inside_a_block_are_found_by_its_index(spark, monkeypatch):
+    import pandas as pd
+
+    passage = " ".join(words(30))
+    rows = pd.DataFrame({"doc_id": [1, 2], "ord": [1, 2], "block": [0, 0], "text": [passage, "a b " + passage]})
+    none = pd.DataFrame({x: [] for x in ("block", "hashes", "homes", "lends")})
+    asked = substring_dedup._passages(20, 64)(rows, none)
+    found = substring_dedup._search(20)(asked)
+    assert found[["block", "start", "end"]].values.tolist() == [[0, 32, 62]] and found["home"].isna().all()
+    other = asked.assign(words=[b" ".join([b"x"] * 30) if own else w for own, w in zip(asked["own"], asked["words"])])
+    missed = substring_dedup._search(20)(other)  # the index decides, not the hash
+    assert missed["home"].tolist() == [0] and missed["words"].iloc[0] == passage.encode()
+
+
+def test_substring_of_rows_without_an_id_and_of_heavy_ranges(spark):
+    passage = " ".join(words(40))
+    rows = [(None, passage + " " + " ".join(words(9))) for _ in range(12)] + [(5, passage), (5, passage), (6, " ".join(words(5)))]
+    rows += [(10 + i, " ".join(words(300))) for i in range(12)] + [(1 << 40, passage)]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=3000).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    removed = [r.n_removed for r in got if r.doc_id is None]
+    assert sorted(removed) == [0] + [40] * 11 and all(r.n_removed == 40 for r in got if r.doc_id in (5, 1 << 40))
+
+
 def test_fm_index_finds_all_stretches():
     g = np.random.default_rng(3)
     text = g.integers(2, 9, size=600)
@@ -214,8 +253,9 @@ def test_fm_index_finds_all_stretches():
 
 
 def test_pack_and_unpack_round_trip():
-    v = np.unique(np.random.default_rng(4).integers(1 << 48, size=5000, dtype=np.uint64))
-    assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
+    for top in (1 << 16, 1 << 48, (1 << 64) - 1):
+        v = np.unique(np.random.default_rng(4).integers(top, size=5000, dtype=np.uint64))
+        assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
 
 
 def test_ids_are_those_of_the_tokenizers_library():
