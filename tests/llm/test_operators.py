@@ -479,6 +479,121 @@ def test_lines_of_several_templates_in_a_leaf(spark):
     assert got[400].n_dropped == got[401].n_dropped == 0  # five lines, but of one document
 
 
+def brute_lines(rows, min_docs=3, min_tokens=1, depth=3):
+    """{doc_id: numbers of dropped lines} by plain loops over the definition in the module's text."""
+    normal = {i: [" ".join("<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0D]+", x.strip(" \t\x0b\x0c\r")) if w) for x in (t or "").split("\n")] for i, t in rows}
+    first = {}  # line -> {doc: first line number}
+    for i, ls in normal.items():
+        for k, x in enumerate(ls):
+            if x and x.count(" ") + 1 >= min_tokens:
+                first.setdefault(x, {}).setdefault(i, k)
+    origin = {x: min(d.items()) for x, d in first.items() if len(d) >= min_docs}
+    leaves = {}
+    for x, d in first.items():
+        ws = x.split(" ")
+        if len(d) < min_docs and len(ws) > depth:
+            leaves.setdefault((len(ws), *ws[:depth]), []).append(x)
+    for leaf, xs in leaves.items():
+        if len(xs) < 2 or sum(len(first[x]) for x in xs) < min_docs:
+            continue
+        width = leaf[0] - depth
+        least = min(-(-width * 6 // 10), width - 1)
+        docs = lambda some: sum(len(first[x]) for x in some)  # noqa: B023, E731
+        items = {x: list(enumerate(x.split(" ")))[depth:] for x in xs}
+        holders = {}
+        for x in xs:
+            for it in items[x]:
+                holders.setdefault(it, set()).add(x)
+        fits = {}  # pattern -> lines
+        tops = {p: max((docs(holders[it]), it[1]) for it in holders if it[0] == p) for p in range(depth, leaf[0])}
+        constants = [(p, w) for p, (c, w) in tops.items() if c >= 0.5 * docs(xs) and c > 1]
+        if len(constants) >= least:
+            fits["general"] = {x for x in xs if sum(it in items[x] for it in constants) >= 0.7 * len(constants)}
+
+        def levels(x, counts):
+            own = sorted(((counts[it], it) for it in items[x] if counts.get(it, 0) >= min_docs), reverse=True)
+            for k in range(1, len(own) + 1):
+                if (k == len(own) or own[k][0] != own[k - 1][0]) and least <= k < width:  # noqa: B023
+                    yield frozenset(it for _, it in own[:k])
+
+        if width == 1:
+            fits["field"] = set(xs)
+        else:
+            counts = {it: docs(h) for it, h in holders.items()}
+            often = {x: [it for it in items[x] if counts[it] >= min_docs] for x in xs}
+            often = {x: o for x, o in often.items() if len(o) >= least}
+            plain = {(x, p) for x in often for p in levels(x, counts)}
+            by = {}
+            for x, p in plain:
+                by.setdefault(p, set()).add(x)
+            met = {x for p, own in by.items() if docs(own) >= min_docs for x in own}
+            anchors = set()
+            for x in often.keys() - met:
+                anchors |= set(sorted(often[x], key=lambda it: counts[it])[:4])  # noqa: B023
+            wide = set(plain)
+            for a in anchors:
+                beside = {x for x in often if a in often[x]}
+                near = Counter()
+                for x in beside:
+                    for it in often[x]:
+                        near[it] += len(first[x])
+                wide |= {(x, p) for x in beside for p in levels(x, near)}
+            for x, p in wide:
+                fits.setdefault(p, set()).add(x)
+        found = {}
+        for p, own in fits.items():
+            places = {}
+            for x in own:
+                for i, k in first[x].items():
+                    places[i] = min(k, places.get(i, k))
+            if len(places) >= min_docs:
+                for x in own:
+                    found.setdefault(x, []).append((len(places), min(places.items())))
+        for x, several in found.items():
+            most = max(c for c, _ in several)
+            origin[x] = {o for c, o in several if c == most}
+    out = {}
+    for i, ls in normal.items():
+        for k, x in enumerate(ls):
+            if x in origin:
+                out.setdefault(i, []).append((k, origin[x] if isinstance(origin[x], set) else {origin[x]}))
+    return out
+
+
+def test_lines_against_plain_loops(spark):
+    g = random.Random(11)
+    names = "anna bert cleo dora emil fred gina hans iris jens".split()
+    shapes = ["Report was sent by {} to the main office of {}", "Report was sent for {} from our {} server room", "cache hit for key {} in zone {} done", "cache hit for user {} lost session {} gone", "Read more", "ok {}", "a b c {}"]
+    rows = []
+    for i in range(60):
+        ls = [g.choice(shapes).format(g.choice(names), g.choice(names)) for _ in range(g.randrange(1, 7))]
+        ls += [" ".join(g.choice(["cache", "hit", "for", *names]) for _ in range(8)), f"  Page {i}\tof  {g.randrange(99)} ", ""]
+        g.shuffle(ls)
+        rows.append((i, "\n".join(ls)))
+    want = brute_lines(rows)
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1).collect()}
+    n = 0
+    for i, t in rows:
+        sure = {k for k, o in want.get(i, []) if (i, k) not in o}
+        free = {k for k, o in want.get(i, []) if (i, k) in o and len(o) > 1}  # templates of equal support: either's first place stays
+        kept = [x for k, x in enumerate(t.split("\n")) if k not in sure]
+        n += len(sure)
+        if not free:
+            assert (got[i].n_dropped, got[i].text) == (len(sure), "\n".join(kept))
+        else:
+            assert len(sure) <= got[i].n_dropped <= len(sure) + len(free)
+    assert n > 150
+
+
+def test_lines_of_long_texts_take_linear_time(spark):
+    import time
+
+    rows = [(i, "\n".join(f"the same line {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}{'abcdefghij'[k // 600 % 10]}{'abcdefghij'[k // 6000 % 10]}" for k in range(40_000))) for i in range(4)]
+    began = time.time()
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).agg({"n_dropped": "sum"}).head()[0]
+    assert got == 120_000 and time.time() - began < 60
+
+
 def test_line_query_drops_short_lines(spark, tmp_path):
     from treeloom.llm import queries
 
