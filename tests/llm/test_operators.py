@@ -440,6 +440,72 @@ def test_random_strings_are_told_from_words(spark):
     assert all(got[200 + i] == "" for i in range(4))
 
 
+def brute_p(run, code):
+    """p of a run by plain loops over the three tests."""
+    from math import exp, sqrt
+
+    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
+    alphabet = secrets.ALPHABETS[code]
+    ranks = [alphabet.index(c) for c in (bare.lower() if code == "hex" else bare)]
+    n, k = len(ranks), len(alphabet)
+    chi = sum((sum(r * 8 // k == part for r in ranks) - n / 8) ** 2 / (n / 8) for part in range(8))
+    high = [r >= k / 2 for r in ranks]
+    n1, turns, mean = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:])), sum(ranks) / n
+    both = 2 * n1 * (n - n1)
+    z_runs = (turns - 1 - both / n) / sqrt(max(both * (both - n) / (n * n * (n - 1)), 0.25))
+    z_lag = sum((a - mean) * (b - mean) for a, b in zip(ranks, ranks[1:])) / max(sum((r - mean) ** 2 for r in ranks), 1e-9) * sqrt(n)
+    z = (((chi + z_runs**2 + z_lag**2) / 9) ** (1 / 3) - (1 - 2 / 81)) / (2 / 81) ** 0.5
+    return 1 / (1 + exp(1.5976 * z + 0.070566 * z**3))
+
+
+def test_added_spans_are_those_of_plain_loops_and_false_alarms_are_few(spark):
+    import string
+
+    g = random.Random(3)
+    plain = "the model writes pages about rivers and mountains while children read books near quiet gardens under green trees".split()
+    odd = [lambda: "_".join(g.sample(plain, 4)), lambda: "".join(w.title() for w in g.sample(plain, 5)), lambda: "/".join(g.sample(plain, 4)) + f"/{g.randrange(9999)}", lambda: "-".join(g.sample(plain, 3)) + f"-v{g.randrange(99)}"]
+    drawn = [lambda n: "".join(g.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)), lambda n: "".join(g.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))]
+    rows, true = [], set()
+    for i in range(900):
+        if i % 3 == 0:
+            rows.append((i, "é \U0001f600 " + drawn[i % 2](g.choice([24, 32, 40, 64])) + " x"))
+            true.add(i)
+        else:
+            rows.append((i, "see " + g.choice(odd)() + " and " + g.choice(odd)()))
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs, counts = [], {}
+    for i, t in rows:
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?", t):
+            bare = m[0].rstrip("=")
+            if not re.search("[A-Za-z]", bare):
+                continue
+            code = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else "base32" if re.fullmatch("[A-Z2-7]+", bare) else "base64"
+            p, name = brute_p(m[0], code), f"{code}:{len(bare).bit_length() - 1}"
+            runs.append((i, p, name, f"random_{code}:{m.start()}:{m.end()}"))
+            counts.setdefault(name, {})[m[0]] = int(min(p, 1 - 1e-9) * 1000)
+    counts = {name: Counter(own.values()) for name, own in counts.items()}
+    want = {}
+    for i, p, name, span in runs:
+        if p >= secrets.level_of(counts[name]):
+            want.setdefault(i, []).append(span)
+    assert {i: ",".join(x) for i, x in want.items()} == {i: x for i, x in got.items() if x}
+    false = sum(i not in true for i in want)
+    assert len(want.keys() & true) >= 270 and false <= 0.08 * len(want)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    n = 32_000
+    rows = [(0, " ".join(f"token=abcdefgh{i:06d}" for i in range(n))), (1, "q8Zr1LwX9vB2nM4kT7yP0sD3fG6hJ5aC token=12345678 " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert (got[0].n_assign, got[1].n_assign, got[1].spans.count("random_base64")) == (n, 4000, 4000)
+    line = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[a-z0-9]+", rows[0][1]))
+    assert got[0].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and time.time() - began < 20
+
+
 def test_secrets_of_named_values_and_letters(spark):
     value, letters, base32 = "q8Zr1LwX9vB2nM4kT7yP0sD3fG6hJ5aC", "qZrKLwXtvBxnMokTuyPisDefGahJpaCw", "MZ2KQ7RBX4TWE3ALUGY6OCHNVJ5DSFIP"
     texts = [f"AWS_SECRET_ACCESS_KEY={value}", f"https://h.org/a?sig={value}&x=1", f"a_rather_long_name_of_a_key={value}==", f"x =={value}", f"v {letters} w", f"k={base32}====", f"{value}=1"]
@@ -499,16 +565,35 @@ def brute_lines(rows, min_docs=3, min_tokens=1, depth=3):
         width = leaf[0] - depth
         least = min(-(-width * 6 // 10), width - 1)
         docs = lambda some: sum(len(first[x]) for x in some)  # noqa: B023, E731
+
+        def settle(fits):
+            """Lines of the patterns that recur, with the first places of those in most documents."""
+            found = {}
+            for own in fits.values():
+                places = {}
+                for x in own:
+                    for i, k in first[x].items():
+                        places[i] = min(k, places.get(i, k))
+                if len(places) >= min_docs:
+                    for x in own:
+                        found.setdefault(x, []).append((len(places), min(places.items())))
+            for x, several in found.items():
+                most = max(c for c, _ in several)
+                origin[x] = {o for c, o in several if c == most}
+            return found
+
         items = {x: list(enumerate(x.split(" ")))[depth:] for x in xs}
         holders = {}
         for x in xs:
             for it in items[x]:
                 holders.setdefault(it, set()).add(x)
-        fits = {}  # pattern -> lines
         tops = {p: max((docs(holders[it]), it[1]) for it in holders if it[0] == p) for p in range(depth, leaf[0])}
         constants = [(p, w) for p, (c, w) in tops.items() if c >= 0.5 * docs(xs) and c > 1]
         if len(constants) >= least:
-            fits["general"] = {x for x in xs if sum(it in items[x] for it in constants) >= 0.7 * len(constants)}
+            taken = settle({"general": {x for x in xs if sum(it in items[x] for it in constants) >= 0.7 * len(constants)}})
+            xs = [x for x in xs if x not in taken]
+            holders = {it: h - taken.keys() for it, h in holders.items()}
+        fits = {}  # pattern -> lines
 
         def levels(x, counts):
             own = sorted(((counts[it], it) for it in items[x] if counts.get(it, 0) >= min_docs), reverse=True)
@@ -527,12 +612,11 @@ def brute_lines(rows, min_docs=3, min_tokens=1, depth=3):
             for x, p in plain:
                 by.setdefault(p, set()).add(x)
             met = {x for p, own in by.items() if docs(own) >= min_docs for x in own}
-            anchors = set()
-            for x in often.keys() - met:
-                anchors |= set(sorted(often[x], key=lambda it: counts[it])[:4])  # noqa: B023
+            rare = {x: set(sorted(o, key=lambda it: counts[it])[:4]) for x, o in often.items()}  # noqa: B023
+            anchors = {it for x in often.keys() - met for it in rare[x]}
             wide = set(plain)
             for a in anchors:
-                beside = {x for x in often if a in often[x]}
+                beside = {x for x in often if a in rare[x]}
                 near = Counter()
                 for x in beside:
                     for it in often[x]:
@@ -540,18 +624,7 @@ def brute_lines(rows, min_docs=3, min_tokens=1, depth=3):
                 wide |= {(x, p) for x in beside for p in levels(x, near)}
             for x, p in wide:
                 fits.setdefault(p, set()).add(x)
-        found = {}
-        for p, own in fits.items():
-            places = {}
-            for x in own:
-                for i, k in first[x].items():
-                    places[i] = min(k, places.get(i, k))
-            if len(places) >= min_docs:
-                for x in own:
-                    found.setdefault(x, []).append((len(places), min(places.items())))
-        for x, several in found.items():
-            most = max(c for c, _ in several)
-            origin[x] = {o for c, o in several if c == most}
+        settle(fits)
     out = {}
     for i, ls in normal.items():
         for k, x in enumerate(ls):
