@@ -48,7 +48,7 @@ ALPHABETS = {
 KINDS = [*BASE, "random_base32", "random_base64", "random_hex"]
 RATE = 0.05
 LEAST_P = 0.02
-PRIOR = 20
+PRIOR = 100
 BINS = 1000
 PARTS = 8
 
