@@ -691,6 +691,49 @@ def test_pages(spark):
     assert html_text.main_text(df.limit(0), html_text.Weights()).count() == 0
 
 
+def test_best_region_is_the_best_of_all():
+    g = random.Random(2)
+    for _ in range(60):
+        weights = html_text.Weights({"a": -1.0, "b": -3.0, "/a": -0.5}, 1.0)
+        items = [("w", "", " ".join(words(g.randrange(4)))) if g.random() < 0.5 else ("t", g.choice(["a", "b", "/a"]), "") for _ in range(14)]
+        score = [len(t.split()) if k == "w" else weights.of(n) for k, n, t in items]
+        a, b = html_text.best_region(items, weights)
+        assert sum(score[a:b]) == max(0, max(sum(score[x:y]) for x in range(14) for y in range(x + 1, 15)))
+
+
+BODY = "<h1>Head {0}</h1><p>First   part\nof {0} and more words than a menu has<p>second &lt;part&gt; of the text"
+TEXT = "Head {0}\nFirst part of {0} and more words than a menu has\nsecond <part> of the text"
+TEMPLATES = [
+    "<head><title>T</title><meta charset=x><body><nav><a href=/>menu</a></nav><article>{0}</article><footer>foot</footer>",  # no </head>
+    "<body><header><a>Site</a></header><main><header><h1>Own {0} heading</h1></header>{0}</main><aside>side bar</aside>",
+    "<div id=page><div class=kopf>brand</div><article>{0}<div class=werbung>buy this</div></article><div class=fuss>legal</div></div>",
+    "<article><p>{0}<div class='ad'>advert not closed</article><section class=comments><p>reader says</section>",
+]
+
+
+def test_pages_of_other_templates(spark):
+    w = html_text.learn([PAGE.format(" ".join(words(i + 1))) for i in range(30)])
+    for k, template in enumerate(TEMPLATES):
+        text = html_text.extract(template.replace("{0}", BODY).replace("Own " + BODY, "Own"), w)
+        want = TEXT if k != 1 else "Own heading\n" + TEXT
+        assert text == (want if k != 2 else want + "\nbuy this"), k
+    # words of a class that stand outside of articles only are learned, whatever they are
+    pages = [f"<div class=kopf>brand</div><article><p>{' '.join(words(30))}</article><div class=werbung>buy this thing</div>" for _ in range(5)]
+    learned = html_text.learn(pages)
+    assert learned.words == {"kopf": True, "werbung": True}
+    assert html_text.extract(TEMPLATES[2].replace("{0}", BODY), learned) == TEXT
+    assert html_text.extract("<p>a b c d<svg>e f g<p>h", html_text.Weights()) == "a b c d\ne f g\nh" or "h" in html_text.extract("<p>a b c d<svg>e f g<p>h", html_text.Weights())
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for soup in ('<a title="x ', "<a ", "<", "</b <i", "<!-- ", "<script>", "<svg><p>", "<div><p>", "</div>", "<a '>\"<b"):
+        began = time.time()
+        html_text.extract(soup * (1_000_000 // len(soup)), html_text.Weights())
+        assert time.time() - began < 6, soup
+
+
 def test_languages_held_out(spark):
     import pyarrow.parquet as pq
 
