@@ -190,7 +190,7 @@ def _passages(window: int, bits: int):
 
 
 #: A stretch of a block that occurs earlier (home is null), or windows that their home doesn't have.
-FOUND = "block long, start long, end long, home long, words binary"
+FOUND = "block long not null, start long, end long, home long, words binary"
 
 
 def _search(window: int):
@@ -273,6 +273,17 @@ def _onward(window: int, bits: int):
     return work
 
 
+TOLD = "block long not null, hashes binary, homes binary, lends binary, asker long, start long, words binary"
+
+
+def _told(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """What a block has to know to look for the windows that it is asked for: its routes and those windows; nothing if it isn't asked."""
+    columns = ["block", "hashes", "homes", "lends", "asker", "start", "words"]
+    if not len(right):
+        return pd.DataFrame([], columns=columns)
+    return pd.concat([left.reindex(columns=columns), right.reindex(columns=columns)]).astype({"asker": "Int64", "start": "Int64"})
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
@@ -311,7 +322,7 @@ def _digested(work):
 
 
 def _blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """doc_id, ord, block, text of every row, dealt by block, and the bytes of all texts; blocks are numbered in order of doc_id."""
+    """doc_id, ord, block, text of every row, and the bytes of all texts; blocks are numbered in order of doc_id."""
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     said = rows.agg(F.coalesce(F.sum(length), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), length)), F.lit(0))).head()
     total, low, high, loose = int(said[0]), said[1] or 0, said[2] or 0, int(said[3])
@@ -333,7 +344,9 @@ def _blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         cuts = settle(cut.filter("sub > 0").groupBy("bucket").agg(F.collect_list("at").alias("cuts")))
         rows = rows.join(cuts, "bucket", "left")
         sub = F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("ord"))), F.lit(0))
-    return rows.select("doc_id", "ord", (F.col("bucket") * SUB + sub).alias("block"), "text").repartition("block"), total
+    # Never null, and said so: joins by block then add no filter below the exchange. It isn't dealt by hand either: every step asks for
+    # the same exchange by block and so shares one.
+    return rows.select("doc_id", "ord", F.coalesce(F.col("bucket") * SUB + sub, F.lit(0).cast("long")).alias("block"), "text"), total
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False, block_bytes: int = BLOCK_BYTES, hash_bits: int = HASH_BITS, retries: int = RETRIES) -> DataFrame:
@@ -341,7 +354,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False,
     dealt, size = _blocks(docs.select(F.col("doc_id").cast("long"), "text"), block_bytes)
     range_bits = max(1, min(30, hash_bits, (size // 6 // RANGE_WORDS).bit_length()))
     hashed = dealt.groupBy("block").applyInPandas(_hashes(window, hash_bits, range_bits), "range long, block long, packed binary")
-    homes = hashed.groupBy("range").applyInPandas(_homes, "block long, hashes binary, homes binary, lends binary")
+    homes = hashed.groupBy("range").applyInPandas(_homes, "block long not null, hashes binary, homes binary, lends binary")
     passages = dealt.groupBy("block").cogroup(homes.groupBy("block")).applyInPandas(_passages(window, hash_bits), PASSAGES)
     # Each round's results are exchanged once, by block; both the next round and the last step read that exchange.
     rounds = [passages.groupBy("home").applyInPandas(_search(window), FOUND).repartition("block")]
@@ -350,7 +363,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False,
         found = rounds[-1].mapInArrow(_closed, FOUND) if turn == 0 else found.unionByName(rounds[-1].mapInArrow(_closed, FOUND))
         missed = rounds[-1].mapInArrow(_open, FOUND).select(F.col("home").alias("block"), F.col("block").alias("asker"), "start", "words")
         need = missed.select("block").distinct()
-        told = homes.join(need, "block", "left_semi").unionByName(missed, allowMissingColumns=True)
+        told = homes.groupBy("block").cogroup(missed.groupBy("block")).applyInPandas(_told, TOLD)
         onward = dealt.join(need, "block", "left_semi").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_onward(window, hash_bits), FOUND)
         rounds.append(onward.repartition("block"))
     if retries:
