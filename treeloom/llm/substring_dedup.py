@@ -362,9 +362,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False,
     for turn in range(retries):
         found = rounds[-1].mapInArrow(_closed, FOUND) if turn == 0 else found.unionByName(rounds[-1].mapInArrow(_closed, FOUND))
         missed = rounds[-1].mapInArrow(_open, FOUND).select(F.col("home").alias("block"), F.col("block").alias("asker"), "start", "words")
-        need = missed.select("block").distinct()
         told = homes.groupBy("block").cogroup(missed.groupBy("block")).applyInPandas(_told, TOLD)
-        onward = dealt.join(need, "block", "left_semi").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_onward(window, hash_bits), FOUND)
+        onward = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_onward(window, hash_bits), FOUND)
         rounds.append(onward.repartition("block"))
     if retries:
         found = found.unionByName(rounds[-1])
