@@ -211,9 +211,10 @@ def _vertices(sketched: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(mark, ...) with the text of the row that each mark stands for; repeated rows count once."""
-    some = docs.select("mark", "text").join(wanted.select("mark").distinct(), "mark", "left_semi")
-    return some.groupBy("mark").agg(F.first("text").alias("text")).join(wanted, "mark")
+    """mark, text of the rows that the marks of wanted stand for; repeated rows count once."""
+    # what is wanted grows with the texts, so it is never broadcast
+    some = docs.select("mark", "text").join(wanted.select("mark").distinct().hint("merge"), "mark", "left_semi")
+    return some.groupBy("mark").agg(F.first("text").alias("text"))
 
 
 def _wholes(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def _upto(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _large_clusters(docs: DataFrame, large: DataFrame, chunk: int) -> DataFrame:
+def _large_clusters(texts: DataFrame, large: DataFrame, chunk: int) -> DataFrame:
     """Links a, b that connect what belongs together in clusters of more than chunk members."""
     members = settle(large.select("cluster", "mark", "vertex", "sketch").withColumn("whole", F.col("vertex")))
     found = None
@@ -239,7 +240,7 @@ def _large_clusters(docs: DataFrame, large: DataFrame, chunk: int) -> DataFrame:
         dealt = near.join(tasks, "pivot").withColumn("task", F.pmod(F.xxhash64("vertex"), F.col("tasks")).cast("int"))
         centres = pivots.select("p.mark", "p.vertex", F.col("p.vertex").alias("pivot")).join(tasks, "pivot").withColumn("task", _upto("tasks"))
         columns = ["mark", "vertex", "pivot", "task"]
-        both = _texts(docs, settle(dealt.select(columns).unionByName(centres.select(columns))))
+        both = texts.join(settle(dealt.select(columns).unionByName(centres.select(columns))), "mark")
         new = settle(both.drop("mark").groupBy("pivot", "task").applyInPandas(_star, "a long, b long"))
         found = new if found is None else settle(found.unionByName(new))
         members = _wholes(members, found)
@@ -252,7 +253,7 @@ def _large_clusters(docs: DataFrame, large: DataFrame, chunk: int) -> DataFrame:
     columns = ["cluster", "mark", "vertex", "sketch", "whole", "ci", "cj"]
     every = placed.withColumn("ci", F.pmod("h", "chunks").cast("int")).withColumn("cj", _upto("parts"))
     others = placed.filter(F.col("whole") != F.col("main")).withColumn("cj", F.pmod("h", "parts").cast("int")).withColumn("ci", _upto("chunks"))
-    met = _texts(docs, settle(every.select(columns).unionByName(others.select(columns)).distinct()))
+    met = texts.join(settle(every.select(columns).unionByName(others.select(columns)).distinct()), "mark")
     rest = met.drop("mark").groupBy("cluster", "ci", "cj").applyInPandas(_cluster, "a long, b long")
     return found.unionByName(rest)
 
@@ -271,10 +272,11 @@ def _components(docs: DataFrame, chunk: int) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     bins = max(1, total // 512)
     small = placed.filter(F.col("size") <= chunk).select("mark", "cluster", "vertex", "sketch", F.col("vertex").alias("whole"), F.lit(0).alias("ci"), F.lit(0).alias("cj"))
-    small = _texts(docs, small).withColumn("deal", F.pmod(F.xxhash64("cluster"), F.lit(bins))).drop("mark")
+    texts = settle(_texts(docs, placed))  # all that is ever compared, read from the table once
+    small = texts.join(small, "mark").withColumn("deal", F.pmod(F.xxhash64("cluster"), F.lit(bins))).drop("mark")
     found = settle(small.groupBy("deal").applyInPandas(_cluster, "a long, b long"))
     if sizes.filter(F.col("size") > chunk).head(1):
-        found = settle(found.unionByName(_large_clusters(docs, placed.filter(F.col("size") > chunk), chunk)))
+        found = settle(found.unionByName(_large_clusters(texts, placed.filter(F.col("size") > chunk), chunk)))
     joined = classes.select("set_id", "rep", "vertex").join(components(found).select(F.col("id").alias("vertex"), "component"), "vertex")
     joined = settle(joined)
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
