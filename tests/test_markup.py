@@ -267,3 +267,13 @@ def test_tabular(spark, tmp_path):
     assert tabular.read_documents(spark, str(tmp_path / "t.txt")).head().text == "a;b;c"
     tabular.write_files(spark.createDataFrame([("p", "one"), ("q", "two")], "href string, text string"), str(tmp_path / "out"), "href", "text")
     assert {r.href for r in spark.read.text(str(tmp_path / "out")).collect()} == {"p", "q"}
+
+
+def test_failing_documents_have_an_error_row_and_dynamic_bounds_see_every_nan(spark):
+    sheet = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform" xmlns:d="http://exslt.org/dynamic"><xsl:output method="text"/><xsl:template match="/"><xsl:value-of select="d:max(//b, \'.\')"/>|<xsl:value-of select="generate-id(//b[1])"/></xsl:template></xsl:stylesheet>'
+    df = spark.createDataFrame([(1, "<a><b>1</b><b>3</b></a>"), (2, "<a>"), (3, "<a><b>1</b><b>x</b></a>"), (4, "<a><b>x</b><b>1</b></a>")], "id long, x string")
+    got = {r.doc_id: r for r in xslt.transform_files(df, "id", "x", sheet).collect()}
+    again = {r.doc_id: r.text for r in xslt.transform_files(df, "id", "x", sheet).collect()}
+    assert got[2].error and got[2].text is None and got[1].error is None
+    assert [got[i].text.split("|")[0] for i in (1, 3, 4)] == ["3", "NaN", "NaN"]
+    assert {i: r.text for i, r in got.items()} == again
