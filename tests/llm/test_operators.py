@@ -748,3 +748,43 @@ def test_languages_held_out(spark):
     assert [got[i].lang_pred for i in (10_000, 10_001, 10_002)] == ["und"] * 3
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(df, langid.build({})).filter("lang_pred <> 'und'").count() == 0
+
+
+def plain_language(counts, text, share=langid.SHARE, least=langid.LEAST):
+    """Corrected shares by sets of n-grams, with a filter's cells only where those of other n-grams agree by chance."""
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    best = {}
+    for x, c in counts.items():
+        for g, k in c.items():
+            best[g] = max(best.get(g, 0.0), k / totals[x])
+    own = {x: {g for g, k in c.items() if k >= least and k / totals[x] >= share * best[g]} for x, c in counts.items()}
+    seen = langid.grams(text).tolist()
+    return {x: sum(g in own[x] for g in seen) / len(seen) for x in sorted(own)}
+
+
+def test_languages_against_sets():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pools = {x: ["".join(rng.choice(letters[3 * i : 3 * i + 9]) for _ in range(5)) for _ in range(40)] for i, x in enumerate(("aa", "bb", "cc", "dd"))}
+    counts = {}
+    for x, pool in pools.items():
+        counts[x] = Counter(g for _ in range(60) for g in langid.grams(" ".join(rng.choice(pool) for _ in range(12))).tolist())
+    model = langid.build(counts)
+    for x, pool in pools.items():
+        for other, n in ((pool, 10), (pools["aa"] + pool, 25), (pool, 200)):
+            text = " ".join(rng.choice(other) for _ in range(n))
+            want = plain_language(counts, text)
+            lang, score = langid.decide(model, text)
+            assert want[lang] >= max(want.values()) - 0.02, (x, lang, want)
+            assert abs(score - want[lang]) < 0.02
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    names = ["l%03d" % i for i in range(130)]
+    pools = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for x in names}
+    rows = [(k * len(names) + i, x, " ".join(rng.choice(pools[x]) for _ in range(30))) for k in range(12) for i, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(df)
+    assert model.languages == names and model.cells.shape[0] == 3
+    held = {r[0]: r[1] for r in rows if langid.crc_bucket(r[0]) == 0}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect() if r.doc_id in held}
+    assert got == held

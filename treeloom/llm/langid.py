@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
 A bit-sliced Bloom filter is one array whose cell p holds a bit per language: bit l is set if some
-n-gram of language l hashes to p. Looking an n-gram up takes one cell per hash function; the AND of the
+n-gram of language l hashes to p. A cell has a word for every 64 languages. Looking an n-gram up takes one cell per hash function; the AND of the
 cells is the mask of all languages that (may) contain the n-gram. The set bits of each language are
 counted over the n-grams of a text and corrected for the filter's false positives, and the highest
 corrected share decides.
@@ -35,6 +35,8 @@ SHARE = 0.35
 LEAST = 3
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B)
 BLOCK = 1 << 20
+#: A label column with more distinct values than the world has languages isn't one of languages.
+MAX_LANGUAGES = 8192
 
 
 @dataclass
@@ -70,7 +72,7 @@ def places(grams_: np.ndarray, cells: int) -> list[np.ndarray]:
 def build(counts: dict[str, dict[int, int]], gram: int = GRAM, cells: int = CELLS, share: float = SHARE, least: int = LEAST) -> Model:
     """The filter from the counts of n-grams by language."""
     languages = sorted(counts)
-    table = np.zeros(cells, dtype=np.uint64)
+    table = np.zeros((max(1, -(-len(languages) // 64)), cells), dtype=np.uint64)
     best: dict[int, float] = {}
     totals = {x: max(1, sum(c.values())) for x, c in counts.items()}
     for x, c in counts.items():
@@ -79,8 +81,8 @@ def build(counts: dict[str, dict[int, int]], gram: int = GRAM, cells: int = CELL
     for bit, x in enumerate(languages):
         own = np.array([g for g, k in counts[x].items() if k >= least and k / totals[x] >= share * best[g]], dtype=np.uint32)
         for at in places(own, cells):
-            np.bitwise_or.at(table, at, np.uint64(1 << bit))
-    filled = np.array([((table >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
+            np.bitwise_or.at(table[bit // 64], at, np.uint64(1 << bit % 64))
+    filled = np.array([((table[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))])
     return Model(languages, table, filled ** len(MULTIPLIERS), gram)
 
 
@@ -91,11 +93,10 @@ def decide(model: Model, text: str | None) -> tuple[str, float]:
     step = BLOCK
     for at in range(0, len(text), step):  # blocks bound memory; all of the text is read
         g = grams(text[at : at + step + model.gram - 1] if at + step < len(text) else text[at:], model.gram)
-        mask = None
-        for p in places(g, len(model.cells)):
-            mask = model.cells[p] if mask is None else mask & model.cells[p]
+        first, second = places(g, model.cells.shape[1])
+        masks = [word[first] & word[second] for word in model.cells]
         total += len(g)
-        hits += [np.count_nonzero(mask & np.uint64(1 << b)) for b in range(len(model.languages))]
+        hits += [np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) for b in range(len(model.languages))]
     share = np.clip((hits / max(total, 1) - model.false_rate) / np.maximum(1 - model.false_rate, 1e-9), 0, 1)
     best = int(share.argmax())
     return model.languages[best], float(share[best])
@@ -124,19 +125,18 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, gram: i
     """Learn from text and lang of rows outside the held-out fifth, about sample_per_language rows of each language.
 
     What comes to the driver is bounded: a row count per language, then the sample's distinct (language, n-gram)
-    counts. A mask has 64 bits; more languages raise ValueError.
+    counts. More than MAX_LANGUAGES distinct labels raise ValueError: those are no languages.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages: a mask has 64 bits")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct labels")
     if not sizes:
         return build({}, gram, cells, share)
+    rates = docs.sparkSession.createDataFrame([(x, int(min(1.0, sample_per_language / n) * (1 << 30))) for x, n in sizes.items()], "lang string, rate long")
     rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for x, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == x) & (rank < int(min(1.0, sample_per_language / n) * (1 << 30))))
-    rows = labelled.filter(chosen).select("lang", "text").mapInArrow(_count(gram), "lang string, gram long, k long")
+    chosen = labelled.join(F.broadcast(rates), "lang").filter(rank < F.col("rate"))
+    rows = chosen.select("lang", "text").mapInArrow(_count(gram), "lang string, gram long, k long")
     rows = rows.groupBy("lang", "gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= LEAST)
     counts: dict[str, dict[int, int]] = {x: {} for x in sizes}
     for batch in rows.toArrow().to_batches():
