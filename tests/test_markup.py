@@ -277,3 +277,53 @@ def test_failing_documents_have_an_error_row_and_dynamic_bounds_see_every_nan(sp
     assert got[2].error and got[2].text is None and got[1].error is None
     assert [got[i].text.split("|")[0] for i in (1, 3, 4)] == ["3", "NaN", "NaN"]
     assert {i: r.text for i, r in got.items()} == again
+
+
+def test_indented_pages_start_lines_at_blocks():
+    page = parse_html("<div>text<p>one<b>two</b></p><pre> a <div>b</div></pre><!--c--></div><p><script>x</script></p>")
+    want = "<html>\n  <body>\n    <div>text\n      <p>one<b>two</b></p>\n      <pre> a <div>b</div></pre>\n      <!--c-->\n    </div>\n    <p><script>x</script></p>\n  </body>\n</html>"
+    assert ser.serialize(page, "html-indent") == want
+    assert ser.serialize(page, "xhtml-indent") == want
+
+
+def test_cursors_hold_elements_open():
+    encoder = ser.Encoder()
+    hold = encoder.cofeed(ser.E("a", ser.E("x"), ser.Cursor("b", {"k": "v"}), "end"))
+    hold.send(ser.E("c", "1"))
+    assert encoder.read() == '<a><x/><b k="v"><c>1</c>'
+    hold.send(ser.E("c", "2"), "<")
+    hold.close()
+    hold.close()
+    assert encoder.read() == "<c>2</c>&lt;</b>end</a>" and encoder.read() == ""
+    with pytest.raises(ValueError):
+        hold.send("late")
+
+
+def test_dates_in_templates():
+    from treeloom.functions import dates_memory as dm
+
+    f = {k: (lambda *a, g=g: g(None, *a)) for k, g in dm.FUNCTIONS.items()}
+    assert f["year"]("2004-02-29T10:20:30.5+02:00") == 2004 and f["second-in-minute"]("2004-02-29T10:20:30.5+02:00") == 30.5
+    assert f["month-in-year"]("2004") != f["month-in-year"]("2004") and f["day-name"]("--02-29") == "" and f["day-name"]("2023-02-30") == ""
+    assert f["date"]("2004-02-29T10:20:30Z") == "2004-02-29Z" and f["time"]("2004-02-29T10:20:30Z") == "10:20:30Z" and f["time"]("2004") == ""
+    assert f["add"]("2004-01-31", "P1M") == "2004-02-29" and f["add"]("2004-12-31T23:59:59.5Z", "PT1S") == "2005-01-01T00:00:00.5Z" and f["add"]("2004", "-P1Y") == "2003"
+    assert f["difference"]("2004-01-01", "2004-03-01") == "P60D" and f["difference"]("2004", "2005-03") == "P1Y" and f["difference"]("2004-01-01", "2004-01-02Z") == ""
+    assert f["duration"](90061.0) == "P1DT1H1M1S" and f["duration"](-1.0) == "-PT1S" and f["duration"](0.0) == "PT0S"
+    assert f["add-duration"]("P1Y", "-PT1S") == "" and f["add-duration"]("-P1M", "-P2M") == "-P3M" and f["add-duration"]("x", "P1D") == ""
+    assert f["seconds"]("P1M") != f["seconds"]("P1M") and f["seconds"]("PT1M") == 60 and f["seconds"]("1970-01-02T00:00:00-01:00") == 90000
+    assert f["format-date"]("2004-02-29T13:05:06Z", "yyyy.MM.dd G 'at' h:mm a, EEEE MMM d ''w z") == "2004.02.29 AD at 1:05 PM, Sunday Feb 29 '9 GMT" and f["format-date"]("2004", "dd") == ""
+
+
+def test_template_dates_agree_with_columns(spark):
+    from treeloom.functions import dates_memory as dm
+
+    values = ["2004-02-29", "1999-12-31T23:59:59Z", "2005-01-01T00:00:00.25-05:00", "2010-06", "1970", "--02-29", "---15", "12:30:01", "x", ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    by = {
+        "year": dates.year, "month-in-year": dates.month_in_year, "month-name": dates.month_name, "week-in-year": dates.week_in_year, "day-in-year": dates.day_in_year, "day-of-week-in-month": dates.day_of_week_in_month,
+        "day-in-week": dates.day_in_week, "day-name": dates.day_name, "week-in-month": dates.week_in_month, "hour-in-day": dates.hour_in_day, "date": dates.date, "time": dates.time, "seconds": dates.seconds,
+    }
+    for r in df.select("v", *[f(F.col("v")).alias(n) for n, f in by.items()]).collect():
+        for n in by:
+            got = dm.FUNCTIONS[n](None, r["v"])
+            assert (got if got == got else None) == r[n], (n, r["v"], got, r[n])

@@ -120,7 +120,10 @@ def time(s: Column) -> Column:
 
 
 def _named(index: Column, names: list[str], short: bool) -> Column:
-    return F.coalesce(F.element_at(F.array(*[F.lit(n[:3] if short else n) for n in names]), index.cast("int")), F.lit(""))
+    name = F.lit("")
+    for k, n in reversed(list(enumerate(names, 1))):  # not element_at: generated code keeps the row before's name where the index is null
+        name = F.when(index == k, F.lit(n[:3] if short else n)).otherwise(name)
+    return name
 
 
 def month_name(s: Column, short: bool = False) -> Column:

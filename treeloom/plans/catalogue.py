@@ -583,11 +583,29 @@ for _m in ("html", "html-indent", "html-nsstrip", "xhtml", "xhtml-indent"):
     _written_page(f"ser_{_m.replace('-', '_')}", _m)
 
 
-@query("struct_writer", "SELECT n_nationkey AS doc_id, '<n key=\"' || n_nationkey || '\"><name>' || n_name || '</name></n>' AS result FROM nation")
+@query("struct_writer", "SELECT n_nationkey AS doc_id, '<n xmlns:s=\"urn:sales\" key=\"' || n_nationkey || '\"><s:name>' || n_name || '</s:name>&lt;' || n_regionkey || '<e/></n>' AS result FROM nation")
 def _(spark, sf_dir):
-    from treeloom.plans.corpora import attr, element, escaped
+    """Nested structures with a declaration, attributes, a callable, a generator and raw markup, fed for every row."""
+    from treeloom.sources.serialize import NS, RAW_XML, E, feed_rows
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), element("n", element("name", escaped(F.col("n_name"))), attrs=(attr("key", F.col("n_nationkey")),)).alias("result"))
+    def build(r):
+        return E("n", {"key": r["n_nationkey"]}, NS("s", "urn:sales"), E("s:name", lambda: r["n_name"]), (x for x in ("<", r["n_regionkey"])), RAW_XML("<e/>"))
+
+    return feed_rows(table(spark, sf_dir, "nation"), "n_nationkey", build, "n_nationkey", "n_name", "n_regionkey")
+
+
+def _written_soup(name: str, method: str, text: str) -> None:
+    @query(name, f"SELECT n_nationkey AS doc_id, {text} AS result FROM nation")
+    def _(spark, sf_dir):
+        soup = F.concat(F.lit("<p>"), "n_name", F.lit("<br><img src='"), "n_nationkey", F.lit(".png'>a &amp; b<p><script>a<b</script>"))
+        return update.reserialize(table(spark, sf_dir, "nation").select("n_nationkey", soup.alias("html")), "n_nationkey", "html", method, "html")
+
+
+_written_soup("ser_html_bytes", "html", """'<html><body><p>' || n_name || '<br><img src="' || n_nationkey || '.png">a &amp; b</p><p><script>a<b</script></p></body></html>'""")
+_written_soup("ser_html_indent_bytes", "html-indent", """'<html>' || chr(10) || '  <body>' || chr(10) || '    <p>' || n_name || '<br><img src="' || n_nationkey || '.png">a &amp; b</p>' || chr(10) || '    <p><script>a<b</script></p>' || chr(10) || '  </body>' || chr(10) || '</html>'""")
+_written_soup("ser_xhtml_bytes", "xhtml", """'<html><body><p>' || n_name || '<br /><img src="' || n_nationkey || '.png" />a &amp; b</p><p><script>a&lt;b</script></p></body></html>'""")
+_written("ser_xml_indent_bytes", "xml-indent", """WITH x AS (SELECT l_orderkey, string_agg('  <item line="' || l_linenumber || '" part="' || l_partkey || '" flag="' || l_returnflag || '">' || chr(10) || '    <qty>' || CAST(l_quantity AS BIGINT) || '</qty>' || chr(10) || '    <price>' || CAST(l_extendedprice AS DECIMAL(18,2)) || '</price>' || chr(10) || '  </item>' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS xs FROM lineitem GROUP BY 1)
+ SELECT o_orderkey AS doc_id, '<order id="' || o_orderkey || '" status="' || o_orderstatus || '" date="' || strftime(o_orderdate, '%Y-%m-%d') || '">' || chr(10) || '  <total>' || CAST(o_totalprice AS DECIMAL(18,2)) || '</total>' || chr(10) || coalesce(xs, '') || '</order>' AS result FROM orders LEFT JOIN x ON o_orderkey = l_orderkey""")
 
 
 @query("roundtrip", "SELECT count(*) AS same, 0 AS differ FROM orders")
@@ -643,7 +661,71 @@ _templated("xsl_key", '<xsl:key name="f" match="item" use="@flag"/><xsl:template
 _templated("xsl_mode_params", '<xsl:template match="/"><xsl:apply-templates select="//item[1]" mode="m"><xsl:with-param name="p" select="\'x\'"/></xsl:apply-templates></xsl:template><xsl:template match="item" mode="m"><xsl:param name="p"/><xsl:value-of select="concat($p, @part)"/></xsl:template>', ITEMS + "SELECT o_orderkey AS doc_id, coalesce('x' || l_partkey, '') AS result FROM orders LEFT JOIN items ON o_orderkey = l_orderkey AND rn = 1")
 _templated("xsl_number", '<xsl:template match="/"><xsl:for-each select="//item"><xsl:number format="A"/></xsl:for-each></xsl:template>', f"SELECT o_orderkey AS doc_id, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1, CAST({N_ITEMS} AS INTEGER)) AS result FROM orders")
 _templated("xsl_variable_rtf", '<xsl:template match="/"><xsl:variable name="v"><a><xsl:value-of select="order/@id"/></a><b/></xsl:variable><xsl:value-of select="string-length($v)"/></xsl:template>', "SELECT o_orderkey AS doc_id, CAST(length(CAST(o_orderkey AS VARCHAR)) AS VARCHAR) AS result FROM orders")
-_templated("xsl_copy_of_exslt", '<xsl:template match="/" xmlns:set="http://exslt.org/sets" xmlns:math="http://exslt.org/math"><xsl:value-of select="count(set:distinct(//@flag))"/>/<xsl:value-of select="math:max(//qty)"/></xsl:template>', "SELECT o_orderkey AS doc_id, count(DISTINCT l_returnflag) || '/' || coalesce(CAST(CAST(max(l_quantity) AS BIGINT) AS VARCHAR), 'NaN') AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+_templated("xsl_exslt", '<xsl:template match="/" xmlns:set="http://exslt.org/sets" xmlns:math="http://exslt.org/math"><xsl:value-of select="count(set:distinct(//@flag))"/>/<xsl:value-of select="math:max(//qty)"/></xsl:template>', "SELECT o_orderkey AS doc_id, count(DISTINCT l_returnflag) || '/' || coalesce(CAST(CAST(max(l_quantity) AS BIGINT) AS VARCHAR), 'NaN') AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+
+
+TREE_SHEET = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform" {0}><xsl:output omit-xml-declaration="yes"/>{1}</xsl:stylesheet>'
+EX = "http://exslt.org/"
+
+
+def _sheet(name: str, sheet: str, sql: str, source=None, **more) -> None:
+    """A whole stylesheet over orders, or over the frame of (doc_id, xml) that source makes."""
+
+    @query(name, sql)
+    def _(spark, sf_dir):
+        return xslt.transform(source(spark, sf_dir) if source else markup(spark, sf_dir, "orders"), "doc_id", "xml", sheet, **more).select("doc_id", "result")
+
+
+_sheet(
+    "xsl_copy_of", TREE_SHEET.format("", "<xsl:template match=\"/\"><r><xsl:copy-of select=\"/order/@id\"/><xsl:copy-of select=\"/order/total\"/><xsl:copy-of select=\"//item[@flag='R']\"/></r></xsl:template>"),
+    ITEMS + """SELECT o_orderkey AS doc_id, '<r id="' || o_orderkey || '"><total>' || CAST(o_totalprice AS DECIMAL(18,2)) || '</total>' || coalesce(string_agg('<item line="' || l_linenumber || '" part="' || l_partkey || '" flag="R"><qty>' || CAST(l_quantity AS BIGINT) || '</qty><price>' || CAST(l_extendedprice AS DECIMAL(18,2)) || '</price></item>', '' ORDER BY rn), '') || '</r>' AS result
+ FROM orders LEFT JOIN items ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey, o_totalprice""",
+)
+_sheet(
+    "xsl_strip_space", SHEET.format('<xsl:strip-space elements="*"/><xsl:preserve-space elements="order"/><xsl:template match="/"><xsl:value-of select="count(//text())"/></xsl:template>'),
+    f"SELECT o_orderkey AS doc_id, CAST(3 * {N_ITEMS} + 3 AS VARCHAR) AS result FROM orders",
+    lambda spark, sf_dir: markup(spark, sf_dir, "orders").select("doc_id", F.replace("xml", F.lit("><"), F.lit(">\n <")).alias("xml")),
+)
+_sheet(
+    "xsl_namespace_alias", TREE_SHEET.format('xmlns:a="urn:a" xmlns:b="urn:b" exclude-result-prefixes="a"', '<xsl:namespace-alias stylesheet-prefix="a" result-prefix="b"/><xsl:template match="/"><xsl:apply-templates select="order"/></xsl:template><xsl:template match="order"><a:e a:n="{@id}"/></xsl:template>'),
+    "SELECT o_orderkey AS doc_id, '<b:e xmlns:b=\"urn:b\" b:n=\"' || o_orderkey || '\"/>' AS result FROM orders",
+)
+_sheet(
+    "xsl_include", SHEET.format('<xsl:include href="part"/><xsl:template match="/"><xsl:call-template name="t"/>/<xsl:value-of select="$v"/></xsl:template>'),
+    "SELECT o_orderkey AS doc_id, o_orderstatus || '/' || o_orderkey AS result FROM orders",
+    modules={"part": SHEET.format('<xsl:variable name="v" select="/order/@id"/><xsl:template name="t"><xsl:value-of select="order/@status"/></xsl:template>')},
+)
+for _how, _first, _second in (("upper-first", "n_name", "lower(n_name)"), ("lower-first", "lower(n_name)", "n_name")):
+    _sheet(
+        f"xsl_sort_{_how.replace('-', '_')}", SHEET.format(f'<xsl:template match="/"><xsl:for-each select="//a"><xsl:sort select="." lang="en" case-order="{_how}"/><xsl:value-of select="."/>,</xsl:for-each></xsl:template>'),
+        f"SELECT n_nationkey AS doc_id, 'A,' || {_first} || ',' || {_second} || ',zz,' AS result FROM nation WHERE n_name <> 'A'",
+        lambda spark, sf_dir: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("<n><a>zz</a><a>"), F.lower("n_name"), F.lit("</a><a>"), "n_name", F.lit("</a><a>A</a></n>")).alias("xml")),
+    )
+_sheet(
+    "xsl_pattern_key", SHEET.format('<xsl:key name="f" match="item" use="@flag"/><xsl:template match="key(\'f\', \'R\')">R</xsl:template><xsl:template match="item|total"/>'),
+    "SELECT o_orderkey AS doc_id, repeat('R', CAST(count(l_orderkey) AS INTEGER)) AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY 1",
+)
+_sheet(
+    "xsl_pattern_id", SHEET.format('<xsl:template match="id(\'o1\')">!<xsl:value-of select="@n"/></xsl:template><xsl:template match="text()"/>'),
+    "SELECT c_custkey AS doc_id, CASE WHEN o_orderkey IS NULL THEN '' ELSE '!1' END AS result FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey = 1",
+    lambda spark, sf_dir: markup(spark, sf_dir, "customers"),
+)
+_templated("xsl_current", '<xsl:template match="/"><xsl:for-each select="//item"><xsl:value-of select="count(//item[@flag = current()/@flag])"/>,</xsl:for-each></xsl:template>', ITEMS + ", c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS same FROM items) SELECT o_orderkey AS doc_id, coalesce(string_agg(same || ',', '' ORDER BY rn), '') AS result FROM orders LEFT JOIN c ON o_orderkey = l_orderkey GROUP BY 1")
+_sheet(
+    "xsl_document", SHEET.format('<xsl:template match="/"><xsl:variable name="s" select="order/@status"/><xsl:value-of select="document(\'names.xml\')/names/x[@s = $s]"/>/<xsl:value-of select="count(document(\'none.xml\'))"/></xsl:template>'),
+    "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE '' END || '/0' AS result FROM orders",
+    documents={"names.xml": "<names><x s='F'>final</x><x s='O'>open</x></names>"},
+)
+_templated("xsl_dynamic", f'<xsl:template match="/" xmlns:d="{EX}dynamic" xmlns:c="{EX}common"><xsl:value-of select="d:evaluate(\'count(//item)\')"/>/<xsl:value-of select="sum(d:map(//qty, \'. * 2\'))"/>/<xsl:value-of select="c:object-type(//item)"/>/<xsl:value-of select="c:object-type(1)"/></xsl:template>', "SELECT o_orderkey AS doc_id, count(l_orderkey) || '/' || CAST(coalesce(sum(l_quantity), 0) * 2 AS BIGINT) || '/node-set/number' AS result FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+DAY_SQL = "CAST(o_orderdate AS DATE)"
+_templated(
+    "xsl_dates", f'<xsl:template match="/" xmlns:d="{EX}dates-and-times"><xsl:variable name="t" select="string(order/@date)"/>' + " ".join(f'<xsl:value-of select="{e}"/><xsl:text>|</xsl:text>' for e in (
+        "d:year($t)", "d:leap-year($t)", "d:month-name($t)", "d:month-abbreviation($t)", "d:week-in-year($t)", "d:day-in-year($t)", "d:day-of-week-in-month($t)", "d:day-in-week($t)", "d:day-name($t)",
+        "d:format-date($t, 'dd.MM.yy EEE')", "d:add($t, 'P1M1D')", "d:difference('1992-01-01', $t)", "d:seconds($t)", "d:add-duration('P1Y', 'PT90M')", "d:hour-in-day($t)",
+    )) + "</xsl:template>",
+    f"""SELECT o_orderkey AS doc_id, year(d) || '|' || CASE WHEN year(d) % 4 = 0 AND (year(d) % 100 <> 0 OR year(d) % 400 = 0) THEN 'true' ELSE 'false' END || '|' || monthname(d) || '|' || left(monthname(d), 3) || '|' || weekofyear(d) || '|' || dayofyear(d) || '|' || ((day(d) - 1) // 7 + 1) || '|' || (dayofweek(d) + 1) || '|' || dayname(d)
+ || '|' || strftime(d, '%d.%m.%y %a') || '|' || strftime(d + INTERVAL 1 MONTH + INTERVAL 1 DAY, '%Y-%m-%d') || '|' || CASE WHEN d = DATE '1992-01-01' THEN 'PT0S' ELSE 'P' || (d - DATE '1992-01-01') || 'D' END || '|' || CAST(epoch(d) AS BIGINT) || '|P1YT1H30M|NaN|' AS result FROM (SELECT o_orderkey, {DAY_SQL} AS d FROM orders)""",
+)
 
 
 @query("xsl_construct")

@@ -11,6 +11,8 @@ from .tree import VOID, XHTML_NS, XML_NS, Node
 BOOLEAN = frozenset("checked compact declare defer disabled ismap multiple nohref noresize noshade nowrap readonly selected".split())
 URI_ATTRS = frozenset("action background cite classid codebase data href longdesc profile src usemap".split())
 RAW = frozenset(("script", "style"))
+#: Elements whose content is never indented.
+KEPT = frozenset(("script", "style", "pre", "textarea", "xmp"))
 INLINE = frozenset("a abbr b bdo big br cite code dfn em font i img input kbd label map object q s samp script select small span strike strong sub sup textarea tt u var".split())
 
 
@@ -122,14 +124,20 @@ def serialize(node: Node, method: str = "xml", *, declaration: bool = False, enc
             return
         out.append(">")
         below = {**scope, **decl}
-        has_text = mixed or any(c.kind == "text" for c in n.children)
-        inline = (as_html or xhtml) and (low in INLINE or low == "pre")
-        block = indent and n.children and not has_text and not inline
-        for c in n.children:
-            if block and not ((as_html or xhtml) and c.kind == "element" and c.local.lower() in INLINE):
+        if as_html or xhtml:  # inside flow content only blocks, comments and instructions start lines, also beside text
+            kept = mixed or low in KEPT
+            block = indent and not kept and not (low in INLINE)
+            starts = [c.kind in ("comment", "pi") or (c.kind == "element" and c.local.lower() not in INLINE) for c in n.children]
+            ends = block and n.children and (starts[-1] or (n.children[-1].kind == "text" and not n.children[-1].value.strip()))
+        else:
+            kept = mixed or any(c.kind == "text" for c in n.children)
+            block = ends = indent and n.children and not kept
+            starts = [True] * len(n.children)
+        for c, first in zip(n.children, starts, strict=True):
+            if block and first:
                 out.append("\n" + "  " * (depth + 1))
-            put(c, below, depth + 1, has_text, as_html and low in RAW)
-        if block:
+            put(c, below, depth + 1, kept, as_html and low in RAW)
+        if ends:
             out.append("\n" + "  " * depth)
         out.append(f"</{name}>")
 
@@ -191,3 +199,71 @@ def feed(*items, indent: bool = False) -> str:
     for x in items:
         put(x)
     return "".join(out)
+
+
+class Cursor(E):
+    """An element that is held open: what is sent later becomes its content."""
+
+
+class Encoder:
+    """Text of fed structures, taken by ``read`` as far as it is written.
+
+    ``cofeed`` writes a structure up to its Cursor and gives an object with ``send`` (content at the cursor) and ``close``
+    (the rest of the structure). A structure without a cursor is written whole; what is sent then follows it.
+    """
+
+    def __init__(self) -> None:
+        self.written: list[str] = []
+
+    def feed(self, *items) -> None:
+        self.written.append(feed(*items))
+
+    def read(self) -> str:
+        text = "".join(self.written)
+        self.written.clear()
+        return text
+
+    def cofeed(self, *items) -> "Open":
+        mark = "\x00"  # never in markup, so that it can only be the cursor's place
+        before, _, after = feed(*_marked(items, mark)).partition(mark)
+        self.written.append(before)
+        return Open(self, after)
+
+
+class Open:
+    def __init__(self, encoder: Encoder, rest: str) -> None:
+        self.encoder, self.rest = encoder, rest
+
+    def send(self, *items) -> None:
+        if self.rest is None:
+            raise ValueError("closed")
+        self.encoder.feed(*items)
+
+    def close(self) -> None:
+        if self.rest is not None:
+            self.encoder.written.append(self.rest)
+            self.rest = None
+
+
+def _marked(x, mark: str):
+    """Structures with a mark as the content of cursors."""
+    if isinstance(x, NS | RAW_XML | str | int | float) or x is None:
+        return x
+    if isinstance(x, E):
+        return E(x.name, x.attrs, *[_marked(c, mark) for c in x.content], *([RAW_XML(mark)] if isinstance(x, Cursor) else []))
+    if callable(x):
+        return _marked(x(), mark)
+    return [_marked(c, mark) for c in x]
+
+
+def feed_rows(df, doc_id: str, build, *columns: str):
+    """doc_id, result: for every row the text of what ``build`` makes of a dictionary of the named columns."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def work(batches):
+        for batch in batches:
+            rows = batch.select(list(columns)).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([feed(build(r)) for r in rows], pa.string())], names=["doc_id", "result"])
+
+    return df.select(F.col(doc_id).cast("long").alias("_doc"), *columns).mapInArrow(work, "doc_id long, result string")
