@@ -327,3 +327,14 @@ def test_template_dates_agree_with_columns(spark):
         for n in by:
             got = dm.FUNCTIONS[n](None, r["v"])
             assert (got if got == got else None) == r[n], (n, r["v"], got, r[n])
+
+
+def test_updates_to_node_rows(spark):
+    todo = '<u:modifications version="1.0" xmlns:u="http://www.xmldb.org/xupdate"><u:remove select="//b"/><u:rename select="/a/c">d</u:rename><u:append select="/a"><u:text>z</u:text></u:append></u:modifications>'
+    df = spark.createDataFrame([(1, "<a>x<b/>y<c k='1'/></a>"), (2, "<a"), (3, None), (4, "<q/>"), (5, "<a><c/><b><c/></b></a>")], "id long, x string")
+    rows = update.shredded(df, "id", "x", todo)
+    wanted = shred(update.update(df, "id", "x", todo), "doc_id", "result")
+    got = [r.asDict() for r in rows.orderBy("doc_id", "pre").collect()]
+    assert got == [r.asDict() for r in wanted.orderBy("doc_id", "pre").collect()]
+    assert {r["doc_id"] for r in got} == {1, 5}
+    assert {r.doc_id for r in update.update(df, "id", "x", todo).filter("error is not null").collect()} == {2, 3, 4}

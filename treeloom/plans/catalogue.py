@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from treeloom.functions import dates, iri, legacy, numbers, strings
 from treeloom.operators import extract, nodesets, update
 from treeloom.plans import xslt
-from treeloom.plans.corpora import broken_markup, corpus, markup, nodes, pages, table
-from treeloom.plans.xpath_plan import to_num
+from treeloom.plans.corpora import broken_markup, by_document, corpus, markup, nodes, pages, table
+from treeloom.plans.xpath_plan import Corpus, to_num
 from treeloom.sources.shred import documents, is_xml, shred
+from treeloom.sources.store import settle
 from treeloom.streaming import patterns
 from treeloom.streaming.run import available_now
 
@@ -625,10 +626,8 @@ X = 'xmlns:xupdate="http://www.xmldb.org/xupdate"'
 def _updated(name: str, commands: str, expr: str, sql: str) -> None:
     @query(name, sql)
     def _(spark, sf_dir):
-        from treeloom.plans.xpath_plan import Corpus
-
-        done = update.update(markup(spark, sf_dir, "orders"), "doc_id", "xml", f'<xupdate:modifications version="1.0" {X}>{commands}</xupdate:modifications>')
-        return Corpus(shred(done, "doc_id", "result").persist()).value(expr)
+        todo = f'<xupdate:modifications version="1.0" {X}>{commands}</xupdate:modifications>'
+        return Corpus(settle(by_document(update.shredded(markup(spark, sf_dir, "orders"), "doc_id", "xml", todo)))).value(expr)
 
 
 N_ITEMS = "(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)"

@@ -81,23 +81,29 @@ def shred(df: DataFrame, doc_id: str, markup: str, kind: str = "xml", on_error:
     """Node rows of every document; on_error "skip" leaves documents out that don't parse, "raise" stops."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    held.extend(rows(i, _parse(text.as_py(), kind)))
-                except ParseError:
-                    if on_error == "raise":
-                        raise
-                while len(held) >= BATCH:
-                    yield _batch(held[:BATCH])
-                    del held[:BATCH]
-        if held:
-            yield _batch(held)
+        return shred_batches(batches, lambda text: _parse(text, kind), () if on_error == "raise" else (ParseError,))
 
     return df.select(F.col(doc_id).cast("long"), F.col(markup)).mapInArrow(work, NODES_DDL)
 
 
+def shred_batches(batches: Iterator[pa.RecordBatch], tree, skipped: tuple[type[Exception], ...]) -> Iterator[pa.RecordBatch]:
+    """Node rows of the trees that ``tree`` makes of (id, text) batches, in batches of bounded length."""
+    held: list[tuple] = []
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            try:
+                found = rows(i, tree(text.as_py()))
+            except skipped:
+                continue
+            for row in found:
+                held.append(row)
+                if len(held) >= BATCH:
+                    yield _batch(held)
+                    held = []
+    if held:
+        yield _batch(held)
+
+
 def _batch(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), NODES.types, strict=True)], schema=NODES)
 
