@@ -35,38 +35,63 @@ def label(n: Node) -> str:
     return f"{{{uri}}}{n.local}"
 
 
-def rows(doc_id: int, root: Node) -> Iterator[tuple]:
-    """A tuple per node, attributes included, in document order."""
+def rows(doc_id: int, root: Node, out: list[list]) -> None:
+    """Append a value per node to each column of NODES, attributes included, in document order."""
+    start = len(out[0])
+    ids, pre, last, levels, parents, sibs, kinds, nss, locals_, prefixes, values, paths, t0, t1, maps, decls, own = out
+    sums: list[int] = []  # length of all text up to each node
     at = 0
-    spans: dict[int, tuple[int, int]] = {}
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        n, done = stack.pop()
-        if done:
-            spans[n.pre] = (spans[n.pre][0], at)
-            continue
-        spans[n.pre] = (at, at)
-        if n.kind == "text":
-            at += len(n.value)
-            spans[n.pre] = (spans[n.pre][0], at)
-        elif n.kind in ("root", "element"):
-            stack.append((n, True))
-            stack.extend((c, False) for c in reversed(n.children))
     todo: list[tuple[Node, int, int, int, str]] = [(root, 0, -1, 0, "")]
     while todo:
         n, level, parent, sib, path = todo.pop()
-        a, b = spans[n.pre]
-        if n.kind == "element":
-            path = f"{path}/{label(n)}"
-        own_id = next((x.value for x in n.attrs if x.is_id), None)
-        attrs = {label(x): x.value for x in n.attrs} if n.kind == "element" else None
-        value = n.value
-        if n.kind == "element" and not any(c.kind == "element" for c in n.children):
-            value = n.text()  # of elements without child elements; others are slices of the document's text
-        yield (doc_id, n.pre, n.last, level, parent, sib, n.kind, n.ns, n.local, n.prefix, value, path or "/", a, b, attrs and list(attrs.items()), list(n.nsdecl.items()) if n.nsdecl else None, own_id)
+        kind, value, id_, attrs = n.kind, n.value, None, None
+        kids = n.children
+        if kind == "text":
+            at += len(value)
+        elif kind == "element":
+            path = f"{path}/{label(n) if n.ns else n.local}"
+            attrs = [(label(x), x.value) for x in n.attrs]
+            id_ = next((x.value for x in n.attrs if x.is_id), None)
+            if not any(c.kind == "element" for c in kids):  # values of others are slices of the document's text
+                value = n.text()
+        sums.append(at)
+        pre.append(n.pre)
+        last.append(n.last)
+        levels.append(level)
+        parents.append(parent)
+        sibs.append(sib)
+        kinds.append(kind)
+        nss.append(n.ns)
+        locals_.append(n.local)
+        prefixes.append(n.prefix)
+        values.append(value)
+        paths.append(path or "/")
+        maps.append(attrs)
+        decls.append(list(n.nsdecl.items()) if n.nsdecl else None)
+        own.append(id_)
         for k, x in enumerate(n.attrs):
-            yield (doc_id, x.pre, x.pre, level + 1, n.pre, k, "attribute", x.ns, x.local, x.prefix, x.value, f"{path}/@{label(x)}", a, a, None, None, None)
-        todo.extend((c, level + 1, n.pre, k, path) for k, c in reversed(list(enumerate(n.children))))
+            sums.append(at)
+            pre.append(x.pre)
+            last.append(x.pre)
+            levels.append(level + 1)
+            parents.append(n.pre)
+            sibs.append(k)
+            kinds.append("attribute")
+            nss.append(x.ns)
+            locals_.append(x.local)
+            prefixes.append(x.prefix)
+            values.append(x.value)
+            paths.append(f"{path}/@{attrs[k][0]}")
+            maps.append(None)
+            decls.append(None)
+            own.append(None)
+        if kids:
+            todo.extend([(c, level + 1, n.pre, k, path) for k, c in enumerate(kids)][::-1])
+    n = len(sums)
+    ids.extend([doc_id] * n)
+    t0.append(0)
+    t0.extend(sums[:-1])
+    t1.extend(map(sums.__getitem__, last[start:]))  # nodes are numbered in this order, from 0
 
 
 def _parse(markup: str | None, kind: str) -> Node:
@@ -88,24 +113,24 @@ def shred(df: DataFrame, doc_id: str, markup: str, kind: str = "xml", on_error:
 
 def shred_batches(batches: Iterator[pa.RecordBatch], tree, skipped: tuple[type[Exception], ...]) -> Iterator[pa.RecordBatch]:
     """Node rows of the trees that ``tree`` makes of (id, text) batches, in batches of bounded length."""
-    held: list[tuple] = []
+    held: list[list] = [[] for _ in NODES]
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                found = rows(i, tree(text.as_py()))
+                rows(i, tree(text.as_py()), held)
             except skipped:
                 continue
-            for row in found:
-                held.append(row)
-                if len(held) >= BATCH:
-                    yield _batch(held)
-                    held = []
-    if held:
-        yield _batch(held)
+            if len(held[0]) >= BATCH:
+                yield from _batches(held)
+                held = [[] for _ in NODES]
+    if held[0]:
+        yield from _batches(held)
 
 
-def _batch(held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), NODES.types, strict=True)], schema=NODES)
+def _batches(held: list[list]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, NODES.types, strict=True)], schema=NODES)
+    for at in range(0, len(whole), BATCH):
+        yield whole.slice(at, BATCH)
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("error", pa.struct([("code", pa.int32()), ("line", pa.int32()), ("column", pa.int32()), ("message", pa.string())]))])
