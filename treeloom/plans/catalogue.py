@@ -639,6 +639,9 @@ _updated("upd_remove", "<xupdate:remove select=\"//item[@flag='R']\"/>", "count(
 _updated("upd_rename", '<xupdate:rename select="//item">line</xupdate:rename><xupdate:rename select="/order/@status">state</xupdate:rename>', "concat(count(//line), /order/@state)", f"SELECT o_orderkey AS doc_id, {N_ITEMS} || o_orderstatus AS value FROM orders")
 _updated("upd_variable_if", "<xupdate:variable name=\"s\" select=\"string(/order/@status)\"/><xupdate:if test=\"$s = 'F'\"><xupdate:append select=\"/order\"><f/></xupdate:append></xupdate:if>", "count(/order/f)", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM orders")
 
+by_value("fn_translate_computed", "SELECT o_orderkey AS doc_id, '<' || o_orderstatus || '>x' AS value FROM orders", "orders", "concat(translate(concat('a', /order/@status, 'b'), concat('a', 'b'), concat('<', '>')), 'x')")
+by_path("fn_lang_computed", "SELECT c_custkey AS doc_id, true AS value FROM customer", "customers", "/customer", value="lang(substring('xEN', 2)) and not(lang(concat('f', 'r')))")
+
 # -- templates -----------------------------------------------------------------------------------------------
 
 SHEET = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output method="text"/>{0}</xsl:stylesheet>'

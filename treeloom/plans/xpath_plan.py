@@ -466,7 +466,7 @@ class Corpus:
             "substring": lambda: Typed("string", xpath_substring(s(args[0]), n(args[1]), n(args[2]) if len(args) > 2 else None)),
             "string-length": lambda: Typed("number", F.length(s(args[0])).cast("double")),
             "normalize-space": lambda: Typed("string", F.trim(F.regexp_replace(s(args[0]), r"[ \t\r\n]+", " "))),
-            "translate": lambda: Typed("string", translated(s(args[0]), e.args[1], e.args[2])),
+            "translate": lambda: Typed("string", translated(s(args[0]), e.args[1], e.args[2]) if isinstance(e.args[1], Str) and isinstance(e.args[2], Str) else F.call_function("translate", *map(s, args))),
             "floor": lambda: Typed("number", rounded(n(args[0]), "floor")),
             "ceiling": lambda: Typed("number", rounded(n(args[0]), "ceiling")),
             "round": lambda: Typed("number", rounded(n(args[0]), "round")),
@@ -485,10 +485,12 @@ class Corpus:
         """Nearest xml:lang at or above the node, by its subtag boundary."""
         key = "{http:%2F%2Fwww.w3.org%2FXML%2F1998%2Fnamespace}lang"
         has = self.nodes.filter(F.element_at("attrs", key).isNotNull()).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), F.col("last").alias("_l"), F.element_at("attrs", key).alias("_v"))
+        frame, v = self.compile(e.args[0], frame)
+        want = F.lower(self.string(v))
+        name = f"_lang{sum(c.startswith('_lang') for c in frame.columns)}"
         ctx = frame.select("doc_id", "pre").distinct()
-        near = ctx.join(has, (F.col("_d") == F.col("doc_id")) & (F.col("_p") <= F.col("pre")) & (F.col("_l") >= F.col("pre"))).groupBy("doc_id", "pre").agg(F.lower(F.max_by("_v", "_p")).alias("_lang"))
-        want = e.args[0].value.lower()
-        return frame.join(near, ["doc_id", "pre"], "left"), Typed("boolean", F.coalesce((F.col("_lang") == want) | F.startswith(F.col("_lang"), F.lit(want + "-")), F.lit(False)))
+        near = ctx.join(has, (F.col("_d") == F.col("doc_id")) & (F.col("_p") <= F.col("pre")) & (F.col("_l") >= F.col("pre"))).groupBy("doc_id", "pre").agg(F.lower(F.max_by("_v", "_p")).alias(name))
+        return frame.join(near, ["doc_id", "pre"], "left"), Typed("boolean", F.coalesce((F.col(name) == want) | F.startswith(F.col(name), F.concat(want, F.lit("-"))), F.lit(False)))
 
 
 def before(s: Column, sep: Column) -> Column:
