@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -658,6 +659,41 @@ def test_lines_against_plain_loops(spark):
     assert n > 150
 
 
+def test_lines_of_a_template_among_rarer_and_more_frequent_fields(spark):
+    g = iter("".join(x) for x in itertools.product("abcdefgh", repeat=4))  # words that stand once
+    constants = [(k, f"k{'abcdefghi'[k]}") for k in range(9)]
+    fields = [[(9 + k, f"{'uvw'[i]}{'mnopqr'[k]}") for k in range(6)] for i in range(3)]
+    shown = [(it, 6) for it in constants] + [(it, 2 if it[0] < 13 else 14) for own in fields for it in own]  # four fields of a line are in 3 documents each, two in 15, constants in 9
+    rows = [(i, " ".join(["see", "the", "note", *(w for _, w in constants + own)])) for i, own in enumerate(fields)]
+    for (at, w), times in shown:
+        rows += [(100 + len(rows) + k, " ".join(["see", "the", "note", *(w if p == at else next(g) for p in range(15))])) for k in range(times)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: n for i, n in got.items() if n} == {1: 1, 2: 1} and len(got) == len(rows) == 165
+
+
+def test_every_line_that_shares_a_pattern_has_one(spark):
+    g, width, least, min_docs = random.Random(1), 12, 8, 3
+    base = [[g.choice(["aa", "bb", "cc"]) for _ in range(width)] for _ in range(8)]
+    docs_of = {}  # line -> documents, some of which hold several lines
+    while len(docs_of) < 80:
+        x = ("L", "M", "N", *(g.choice(["aa", "bb", "cc"]) if g.random() < 0.7 else w for w in g.choice(base)))
+        docs_of.setdefault(x, {g.randrange(26) for _ in range(g.choice([1, 1, 2]))})
+    xs, items = list(docs_of), [set(enumerate(x[3:])) for x in docs_of]
+    want = set()
+    for a, own in enumerate(items):
+        near = [(docs_of[x], own & its) for x, its in zip(xs, items) if len(own & its) >= least]
+        if any(len(docs_of[xs[a]] | d | e) >= min_docs and len(p & q) >= least for d, p in near for e, q in near):
+            want.add(a)
+    pair = "struct<a:long,b:long>"
+    tokens = spark.createDataFrame([((1, 1), (k, k), len(docs_of[x]), list(x)) for k, x in enumerate(xs)], f"leaf {pair}, line {pair}, docs long, tokens array<string>")
+    firsts = spark.createDataFrame([(i, i, (k, k)) for k, x in enumerate(xs) for i in docs_of[x]], f"doc_id long, mark long, line {pair}")
+    by = {}
+    for r in line_templates.pattern_fits(tokens, firsts, min_docs).collect():
+        by.setdefault(r.pattern, set()).add(r.line.a)
+    got = set().union(*(own for own in by.values() if len(set().union(*(docs_of[xs[k]] for k in own))) >= min_docs))
+    assert got == want and 20 < len(want) < 80
+
+
 def test_lines_of_long_texts_take_linear_time(spark):
     import time
 
