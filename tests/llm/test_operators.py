@@ -694,6 +694,39 @@ def test_every_line_that_shares_a_pattern_has_one(spark):
     assert got == want and 20 < len(want) < 80
 
 
+@pytest.mark.parametrize("few, nearest, min_docs", [(128, 8, 3), (128, 8, 4), (128, 1, 3), (3, 8, 3), (3, 1, 4)])
+def test_near_copies_are_sought_in_few_rows(spark, monkeypatch, few, nearest, min_docs):
+    g, width, least = random.Random(0), 30, 18
+    fresh, docs_of = itertools.count(), {}
+    for _ in range(4):  # families of lines that share most of their words two by two and hardly enough three by three
+        base = [f"b{next(fresh)}" for _ in range(width)]
+        for _ in range(7):
+            x = [f"x{next(fresh)}" if g.random() < 0.2 else w for w in base]
+            docs_of["L", "M", "N", *x] = {g.randrange(60) for _ in range(g.choice([1, 1, 2]))}
+    xs, items = list(docs_of), [set(enumerate(x[3:])) for x in docs_of]
+    want = set()
+    for a, own in enumerate(items):
+        near = [b for b, its in enumerate(items) if b != a and len(own & its) >= least]
+        sets = [others for k in range(1, min_docs) for others in itertools.combinations(near, k)]
+        if any(len(docs_of[xs[a]].union(*(docs_of[xs[b]] for b in o))) >= min_docs and len(own.intersection(*(items[b] for b in o))) >= least for o in sets):
+            want.add(a)
+    pair, written = "struct<a:long,b:long>", []
+    tokens = spark.createDataFrame([((1, 1), (k, k), len(docs_of[x]), list(x)) for k, x in enumerate(xs)], f"leaf {pair}, line {pair}, docs long, tokens array<string>")
+    firsts = spark.createDataFrame([(i, i, (k, k)) for k, x in enumerate(xs) for i in docs_of[x]], f"doc_id long, mark long, line {pair}")
+    settle = line_templates.settle
+    monkeypatch.setattr(line_templates, "settle", lambda df: written.append(settle(df)) or written[-1])
+    monkeypatch.setattr(line_templates, "PAIRS", few, raising=False)
+    monkeypatch.setattr(line_templates, "NEAREST", nearest, raising=False)
+    by = {}
+    for r in line_templates.pattern_fits(tokens, firsts, min_docs).collect():
+        by.setdefault(r.pattern, set()).add(r.line.a)
+    got = set().union(*(own for own in by.values() if len(set().union(*(docs_of[xs[k]] for k in own))) >= min_docs))
+    assert got == want and 10 < len(want) < len(xs)
+    assert all(len(set.intersection(*(items[k] for k in own))) >= least for own in by.values())
+    if few == 128:
+        assert sum(df.count() for df in written) < 8_000  # 29,994 and 16,379 by chains alone
+
+
 def test_lines_of_long_texts_take_linear_time(spark):
     import time
 
