@@ -84,3 +84,12 @@ def test_markup_is_the_same_however_dealt(spark):
     got = corpora.markup(spark, SF, "customers")
     assert got.count() == corpora.table(spark, SF, "customer").count() == got.select("doc_id").distinct().count()
     assert got.filter(F.col("xml").isNull()).count() == 0
+
+
+def test_tasks_grow_with_the_tables(spark, tmp_path):
+    spark.range(5_000_000).selectExpr("xxhash64(id) AS k").write.parquet(str(tmp_path / "t.parquet"))
+    big = spark.read.parquet(str(tmp_path / "t.parquet"))
+    least = corpora.tasks(spark, corpora.table(spark, SF, "region"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
+    assert corpora.tasks(spark, *[big] * (least + 1)) >= size * (least + 1) // corpora.TASK_BYTES > least
+    assert corpora.dealt(big, "k", least + 3).rdd.getNumPartitions() == least + 3
