@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.test_xpath import DOCS, NS, PATHS, VALUES, strip
 from treeloom.operators import nodesets, update
-from treeloom.plans import catalogue, corpora
+from treeloom.plans import catalogue, corpora, xpath_eval
 from treeloom.plans.xpath_ast import XPathError
 from treeloom.plans.xpath_documents import Markup
 from treeloom.plans.xpath_plan import Corpus
@@ -93,3 +93,28 @@ def test_tasks_grow_with_the_tables(spark, tmp_path):
     size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
     assert corpora.tasks(spark, *[big] * (least + 1)) >= size * (least + 1) // corpora.TASK_BYTES > least
     assert corpora.dealt(big, "k", least + 3).rdd.getNumPartitions() == least + 3
+
+
+def test_order_asks_documents_once():
+    class Asked:
+        asked = 0
+        kind, local = "element", None
+
+        def __init__(self, pre):
+            self.pre = pre
+
+        @property
+        def doc(self):
+            Asked.asked += 1
+
+    got = xpath_eval.order(map(Asked, range(400, 0, -1)))
+    assert [n.pre for n in got] == list(range(1, 401)) and Asked.asked <= 1200
+
+
+def test_attributes_become_nodes_when_asked(spark):
+    e = update.parse_xml('<a x="1" p:y="2" xmlns:p="u" xml:id="i"/>').children[0]
+    assert (e.get("x"), e.get("y"), e.made) == ("1", None, None)
+    assert e.get("y", "u") == "2" and [(a.local, a.pre, a.is_id, a.parent is e) for a in e.attrs] == [("x", 2, False, True), ("y", 3, False, True), ("id", 4, True, True)]
+    t = update.parse_xml("<a>t</a>").children[0].children[0]
+    t.add(update.parse_xml("<b/>").children[0])
+    assert len(t.children) == 1 and xpath_eval.Node("text").children == ()
