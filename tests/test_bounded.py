@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.test_xpath import DOCS, NS, PATHS, VALUES, strip
 from treeloom.operators import nodesets, update
-from treeloom.plans import catalogue, corpora, xpath_eval
+from treeloom.plans import catalogue, corpora, xpath_eval, xslt
 from treeloom.plans.xpath_ast import XPathError
 from treeloom.plans.xpath_documents import Markup
 from treeloom.plans.xpath_plan import Corpus
@@ -117,6 +117,24 @@ def test_order_asks_documents_once():
     assert [n.pre for n in got] == list(range(1, 401)) and Asked.asked <= 1200
 
 
+def test_stylesheet_state_is_kept_between_documents(monkeypatch):
+    text = '<s:stylesheet version="1.0" xmlns:s="http://www.w3.org/1999/XSL/Transform"><s:output method="text"/><s:key name="k" match="b" use="@v"/><s:variable name="n" select="count(//b)"/><s:template match="key(\'k\', \'1\')">!</s:template><s:template match="b"><s:value-of select="$n"/>{@v}<s:if test="@v = 9"><s:message terminate="yes">x</s:message></s:if></s:template></s:stylesheet>'
+    sheet = xslt.Stylesheet.compile(text)
+    docs = ['<a><b v="1"/><b v="2"/></a>', '<a><b v="9"/><b v="1"/></a>', '<a><b v="2"/><b v="1"/><b v="1"/></a>']
+    asked, key, bound = [], xslt.Run.key, []
+    monkeypatch.setattr(xslt.Run, "key", lambda self, *a: asked.append(1) or key(self, *a))
+    monkeypatch.setattr(xslt, "by_prefix", lambda ns, f=xslt.by_prefix: bound.append(1) or f(ns))
+    run, got = xslt.Run(sheet), []
+    for x in docs:
+        try:
+            got.append(run.begin(xslt.parse_xml(x)).run().text())
+        except xslt.Terminated:
+            got.append(None)
+    assert got == ["!2{@v}", None, "3{@v}!!"]
+    assert len(asked) == 3  # once a document, not once a node
+    assert len(bound) <= 6  # once an element of the stylesheet, not once a document
+
+
 def test_attributes_become_nodes_when_asked(spark):
     e = update.parse_xml('<a x="1" p:y="2" xmlns:p="u" xml:id="i"/>').children[0]
     assert (e.get("x"), e.get("y"), e.made) == ("1", None, None)
